@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, site_lines
+from corpusloom.llm import leakage, lookalike, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,18 @@ def p9_items(spark, sf_dir):
     """Which test items leaked, in how many documents and how long at most."""
     leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return leaks.groupBy("item_id").agg(F.count("*").alias("docs"), F.max("run").alias("longest"))
+
+
+@query
+def p3_found(spark, sf_dir):
+    return lookalike.lookalike_pairs(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p3_classes(spark, sf_dir):
+    return lookalike.lookalike_classes(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p3_clean(spark, sf_dir):
+    return lookalike.consistent_text(table(spark, sf_dir, "pretrain").select("record_id", "text"))
