@@ -2,8 +2,8 @@
 
 Script sets decide which look-alike is meant: every letter of a token has a set of scripts it is used in (extended by the
 scripts that share it); the intersection over the token is its resolved set. An empty intersection marks a mixed-script
-token: the script whose spelling covers the whole token by look-alike replacement, with the fewest replacements, is
-taken. A token that resolves to Greek or Cyrillic alone, but whose letters all have Latin look-alikes, is a whole-script
+token: of the scripts whose spelling covers the whole token by look-alike replacement (Latin, or one that other tokens
+of the record prove), the one with the fewest replacements is taken. A token that resolves to Greek or Cyrillic alone, but whose letters all have Latin look-alikes, is a whole-script
 confusable: it is respelled unless the record has other tokens that can only be that script. What remains is normalised:
 canonical composition, radicals and compatibility ideographs, full-width letters and digits, kinds of space and hyphen,
 characters that show nothing.
@@ -97,8 +97,8 @@ def consistent_scripts(text: str) -> str:
         if r:
             whole = respell(t, "Latn")
             return whole[0] if whole and not r & sure else t
-        options = [(x[1], s != "Latn", x[0]) for s in ("Latn", "Cyrl", "Grek") if (x := respell(t, s))]
-        return min(options)[2] if options else t
+        options = [(s != "Latn" and s not in sure, x[1], s != "Latn", x[0]) for s in ("Latn", "Cyrl", "Grek") if (x := respell(t, s))]
+        return min(options)[3] if options else t
 
     return _LETTERS.sub(one, text)
 
