@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, site_lines
+from corpusloom.llm import leakage, lookalike, mojibake, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def p3_classes(spark, sf_dir):
 @query
 def p3_clean(spark, sf_dir):
     return lookalike.consistent_text(table(spark, sf_dir, "pretrain").select("record_id", "text"))
+
+
+@query
+def p5_found(spark, sf_dir):
+    return mojibake.garbled_fields(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p5_restored(spark, sf_dir):
+    return mojibake.restore(table(spark, sf_dir, "pretrain").select("record_id", "text", "source_url"))
