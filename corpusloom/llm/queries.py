@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, mojibake, site_lines
+from corpusloom.llm import leakage, lookalike, mojibake, sentences, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,8 @@ def p5_found(spark, sf_dir):
 @query
 def p5_restored(spark, sf_dir):
     return mojibake.restore(table(spark, sf_dir, "pretrain").select("record_id", "text", "source_url"))
+
+
+@query
+def p10_found(spark, sf_dir):
+    return sentences.split_sentences(table(spark, sf_dir, "documents"))
