@@ -45,6 +45,15 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if bounded(df, row_bytes, limit) else df
 
 
+def hash_sample(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those of the least key hash; only about twice as many leave the scan, whatever its size."""
+    n = df.count()
+    h = F.xxhash64(F.col(key), F.lit(42))
+    if n > 4 * limit:
+        df = df.filter(F.shiftrightunsigned(h, 33) < int(2 * limit / n * (1 << 31)) + 1)
+    return df.orderBy(h, F.col(key)).limit(limit)
+
+
 def build(app: str = "corpusloom", cpus: str | None = None, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use; a cluster brings its own."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "*")
