@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, mojibake, sentences, site_lines
+from corpusloom.llm import leakage, lookalike, main_content, mojibake, sentences, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,13 @@ def p5_restored(spark, sf_dir):
 @query
 def p10_found(spark, sf_dir):
     return sentences.split_sentences(table(spark, sf_dir, "documents"))
+
+
+@query
+def p2_found(spark, sf_dir):
+    return main_content.furniture_lines(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p2_clean(spark, sf_dir):
+    return main_content.main_text(table(spark, sf_dir, "pretrain")).select("record_id", "text")
