@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, main_content, mojibake, sentences, site_lines
+from corpusloom.llm import leakage, lookalike, main_content, mojibake, personal, sentences, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,13 @@ def p2_found(spark, sf_dir):
 @query
 def p2_clean(spark, sf_dir):
     return main_content.main_text(table(spark, sf_dir, "pretrain")).select("record_id", "text")
+
+
+@query
+def p7_found(spark, sf_dir):
+    return personal.find_personal(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p7_masked(spark, sf_dir):
+    return personal.mask_personal(table(spark, sf_dir, "pretrain").select("record_id", "text"))
