@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, main_content, mojibake, personal, sentences, site_lines
+from corpusloom.llm import leakage, lookalike, main_content, mojibake, packing, personal, sentences, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,17 @@ def p7_found(spark, sf_dir):
 @query
 def p7_masked(spark, sf_dir):
     return personal.mask_personal(table(spark, sf_dir, "pretrain").select("record_id", "text"))
+
+
+@query
+def p8_pack(spark, sf_dir):
+    return packing.pack_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec"))
+
+
+@query
+def p8_fill(spark, sf_dir):
+    """Per plan: containers, tokens, capacity used up and the share of it that holds tokens."""
+    rows = packing.pack_all(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_spec")).filter("container_id is not null")
+    boxes = rows.groupBy("plan", "container_id").agg(F.max("capacity_tokens").alias("cap"), F.sum("tokens").alias("tokens"))
+    out = boxes.groupBy("plan").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("cap").alias("capacity"))
+    return out.withColumn("fill", F.col("tokens") / F.col("capacity"))
