@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, main_content, mojibake, packing, personal, sentences, site_lines
+from corpusloom.llm import leakage, lookalike, main_content, mojibake, near_dup, packing, personal, sentences, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,13 @@ def p8_fill(spark, sf_dir):
     boxes = rows.groupBy("plan", "container_id").agg(F.max("capacity_tokens").alias("cap"), F.sum("tokens").alias("tokens"))
     out = boxes.groupBy("plan").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("cap").alias("capacity"))
     return out.withColumn("fill", F.col("tokens") / F.col("capacity"))
+
+
+@query
+def p6_found(spark, sf_dir):
+    return near_dup.near_pairs(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p6_classes(spark, sf_dir):
+    return near_dup.near_classes(table(spark, sf_dir, "pretrain"))
