@@ -38,7 +38,7 @@ FROM_LATIN = {"Cyrl": {v: k for k, v in CYRILLIC.items()}, "Grek": {v: k for k,
 #: Code points that show nothing: soft hyphen, joiners, zero-width, direction and variation marks, fillers.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
 
-_INVISIBLE = re.compile(f"[{INVISIBLE}]+")
+INVISIBLE_RE = _INVISIBLE = re.compile(f"[{INVISIBLE}]+")
 _ODD = re.compile(f"[\u0009\u000d ̀-ͯ - ‐‑  ⺀-⿟　豈-﫿０-９Ａ-Ｚａ-ｚͰ-ԯΩKÅ\U0002f800-\U0002fa1f{INVISIBLE}]| \n| $")
 _SPACE = re.compile("[\t\r   -   　]")
 _TRAIL = re.compile(" +(?=\n|$)")

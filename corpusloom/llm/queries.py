@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import leakage, lookalike, main_content, mojibake, near_dup, packing, personal, sentences, site_lines
+from corpusloom.llm import leakage, lookalike, main_content, mojibake, near_dup, packing, personal, scan_repair, sentences, site_lines
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,13 @@ def p6_found(spark, sf_dir):
 @query
 def p6_classes(spark, sf_dir):
     return near_dup.near_classes(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p4_found(spark, sf_dir):
+    return scan_repair.scan_faults(table(spark, sf_dir, "pretrain"))
+
+
+@query
+def p4_repaired(spark, sf_dir):
+    return scan_repair.repair(table(spark, sf_dir, "pretrain")).select("record_id", "text")
