@@ -7,11 +7,259 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import quality, urls
+from corpusloom.functions.pytext import sql_quote, sql_strip, strip
+from corpusloom.operators import html, patent, regulation, segment
+from corpusloom.plans import jobs, pipelines
 from corpusloom.session import table
+from corpusloom.settings import Settings
+from corpusloom.sources import files, url_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+S = Settings()
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def text_query(name: str, source: str, key: str, column: Callable, sql: Callable[[str], str]) -> None:
+    """A query that rewrites the text of a whole table."""
+    register(name, lambda spark, d: table(spark, d, source).select(key, column(F.col("text")).alias("text")), f"SELECT {key}, {sql('text')} AS text FROM {source}")
+
+
+# --- patent cleaning, stage by stage and whole ----------------------------------------------------------------------
+
+for _stage in (*patent.BEFORE_JOIN, *patent.LINE_STAGES):
+    text_query(f"patent_{_stage[0]}", "pretrain", "record_id", lambda c, st=_stage: patent.apply_stage(c, st), lambda e, st=_stage: patent.sql_stage(e, st))
+text_query("patent_join_lines", "pretrain", "record_id", patent.join_broken_lines, patent.sql_join_broken_lines)
+text_query("patent_attach_numbers", "documents", "doc_id", patent.attach_numbers, patent.sql_attach_numbers)
+text_query("patent_footer_runs", "pretrain", "record_id", patent.remove_footer_runs, patent.sql_remove_footer_runs)
+text_query("patent_claims_footers", "pretrain", "record_id", patent.remove_claims_footers, patent.sql_remove_claims_footers)
+text_query("patent_fragments", "pretrain", "record_id", patent.remove_fragments, patent.sql_remove_fragments)
+text_query("patent_blanks", "pretrain", "record_id", patent.normalise_blanks, patent.sql_normalise_blanks)
+
+
+def sql_patent_clean(source: str, key: str) -> str:
+    """WITH steps whose last, ``cleaned``, has (key, text, cleaned)."""
+    steps, prev, n = [], source, 0
+
+    def add(expr: str) -> None:
+        nonlocal prev, n
+        n += 1
+        steps.append(f"p{n} AS MATERIALIZED (SELECT {key}, text, {expr} AS s FROM {prev})")
+        prev = f"p{n}"
+
+    e = "text"
+    for st in patent.BEFORE_JOIN:
+        add(patent.sql_stage(e, st))
+        e = "s"
+    for f in (patent.sql_join_broken_lines, patent.sql_attach_numbers, patent.sql_remove_footer_runs, patent.sql_remove_claims_footers):
+        add(f(e))
+    for st in patent.LINE_STAGES:
+        add(patent.sql_stage(e, st))
+    for f in (patent.sql_remove_fragments, patent.sql_normalise_blanks):
+        add(f(e))
+    steps.append(f"cleaned AS MATERIALIZED (SELECT {key}, text, CASE WHEN {sql_strip('text')} = '' THEN '' ELSE s END AS cleaned FROM {prev})")
+    return "WITH " + ", ".join(steps)
+
+
+register(
+    "patent_clean", lambda spark, d: table(spark, d, "pretrain").select("record_id", patent.clean(F.col("text")).alias("text")),
+    sql_patent_clean("pretrain", "record_id") + " SELECT record_id, cleaned AS text FROM cleaned",
+)
+register("patent_segments", lambda spark, d: pipelines.segments(table(spark, d, "documents").select("doc_id", "text"), "patent").select("doc_id", "seg_no", "segment"))
+register("patent_records", lambda spark, d: pipelines.records(table(spark, d, "documents").select("doc_id", "text"), "patent"))
+register("routed_records", lambda spark, d: pipelines.route(table(spark, d, "documents").select("doc_id", "doc_type", "text")))
+
+
+# --- regulation cleaning, stage by stage and whole ------------------------------------------------------------------
+
+text_query("regulation_invisible", "pretrain", "record_id", regulation.strip_invisible, regulation.sql_strip_invisible)
+text_query("regulation_garbled_lines", "pretrain", "record_id", regulation.drop_garbled_lines, regulation.sql_drop_garbled_lines)
+text_query("regulation_short_lines", "pretrain", "record_id", regulation.drop_short_lines, regulation.sql_drop_short_lines)
+for _rule in regulation.STAGES:
+    text_query(
+        f"regulation_{_rule[0]}", "pretrain", "record_id", lambda c, st=_rule: regulation.apply_stage(c, st), lambda e, st=_rule: patent.sql_replace(e, st[1], st[2])
+    )
+_REGULATION = "WITH " + regulation.sql_clean_steps("documents", "doc_id", "text")
+register(
+    "regulation_clean", lambda spark, d: table(spark, d, "documents").select("doc_id", regulation.clean(F.col("text")).alias("text")),
+    _REGULATION + " SELECT doc_id, cleaned AS text FROM cleaned",
+)
+
+
+def _sql_regulation_segments() -> str:
+    from corpusloom.functions.pytext import WS
+
+    marked = rf"regexp_replace(cleaned, '\n({WS}*[一二三四五六七八九十]{{1,3}}[、．.])', chr(1) || '\1', 'g')"
+    packed = segment.sql_pack_sentences("g", S.max_length)
+    return (
+        _REGULATION
+        + f", g0 AS (SELECT doc_id, list_filter(list_transform(string_split({marked}, chr(1)), lambda y: {sql_strip('y')}), lambda x: x <> '') AS gs FROM cleaned WHERE cleaned <> ''), "
+        f"g1 AS (SELECT doc_id, i, gs[i] AS g FROM (SELECT doc_id, gs, unnest(range(1, len(gs) + 1)) AS i FROM g0)), "
+        f"g2 AS (SELECT doc_id, i, g, CASE WHEN length(g) > {S.max_length} THEN {packed} END AS st FROM g1), "
+        f"g3 AS (SELECT doc_id, list({{'g': g, 'parts': CASE WHEN st IS NULL THEN []::VARCHAR[] ELSE {segment.sql_packed('st')} END}} ORDER BY i) AS gs FROM g2 GROUP BY doc_id), "
+        f"m AS (SELECT doc_id, {segment.sql_merge_groups('gs', S.min_length, S.max_length)} AS m FROM g3), "
+        f"o AS (SELECT doc_id, {segment.sql_merged('m', S.min_length)} AS segs FROM m), "
+        "segments AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS seg_no, segs[i] AS segment FROM (SELECT doc_id, segs, unnest(range(1, len(segs) + 1)) AS i FROM o))"
+    )
+
+
+_SEGMENTS = _sql_regulation_segments()
+_REASON = quality.sql_reject_reason("segment", S.min_length, False)
+register("regulation_segments", lambda spark, d: pipelines.segments(table(spark, d, "documents").select("doc_id", "text"), "regulation"), _SEGMENTS + " SELECT doc_id, seg_no, segment FROM segments")
+register(
+    "regulation_records", lambda spark, d: pipelines.records(table(spark, d, "documents").select("doc_id", "text"), "regulation"),
+    _SEGMENTS + f" SELECT doc_id, seg_no, segment AS text, {sql_quote(S.regulation_category)} AS category FROM segments WHERE {_REASON} IS NULL",
+)
+register(
+    "regulation_funnel", lambda spark, d: pipelines.reject_funnel(table(spark, d, "documents").select("doc_id", "text"), "regulation"),
+    _SEGMENTS + f" SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS segments FROM segments GROUP BY 1",
+)
+register(
+    "regulation_preview", lambda spark, d: pipelines.preview(pipelines.records(table(spark, d, "documents").select("doc_id", "text"), "regulation"), "doc_id"),
+    _SEGMENTS + f" SELECT doc_id, seg_no, segment AS text, {sql_quote(S.regulation_category)} AS category FROM segments WHERE {_REASON} IS NULL ORDER BY doc_id, seg_no LIMIT 3",
+)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+    """Documents to regulation records, end to end."""
+    return QUERIES["regulation_records"](spark, sf_dir)
+
+
+# --- quality --------------------------------------------------------------------------------------------------------
+
+register(
+    "mojibake_flags", lambda spark, d: table(spark, d, "pretrain").select("record_id", quality.is_mojibake(F.col("text")).alias("mojibake")),
+    f"SELECT record_id, {quality.sql_is_mojibake('text')} AS mojibake FROM pretrain",
+)
+for _kind in ("patent", "regulation"):
+    register(
+        f"{_kind}_reject_reason",
+        lambda spark, d, k=_kind: table(spark, d, "pretrain").select("record_id", F.coalesce(quality.reject_reason(F.col("text"), S.min_length, k == "patent"), F.lit("kept")).alias("reason")),
+        f"SELECT record_id, coalesce({quality.sql_reject_reason('text', S.min_length, _kind == 'patent')}, 'kept') AS reason FROM pretrain",
+    )
+
+# --- addresses ------------------------------------------------------------------------------------------------------
+
+register(
+    "url_validate", lambda spark, d: table(spark, d, "url_submission").select("task_id", "pos", urls.url_error(F.col("url")).alias("error")),
+    f"SELECT task_id, pos, {urls.sql_url_error('url')} AS error FROM url_submission",
+)
+_U = sql_strip("url")
+_DEDUPE = f"SELECT task_id, min(pos) AS pos, arg_min(u, pos) AS url FROM (SELECT task_id, pos, {_U} AS u FROM url_submission) WHERE u <> '' GROUP BY task_id, {urls.sql_url_key('u')}"
+register("url_dedupe", lambda spark, d: urls.deduplicate_urls(table(spark, d, "url_submission"), by=("task_id",)), _DEDUPE)
+
+
+def _admission(spark, d):
+    valid, invalid = urls.admit(table(spark, d, "url_submission"))
+    kept = urls.deduplicate_urls(valid, by=("task_id",)).groupBy("task_id").agg(F.count("*").alias("accepted"))
+    refused = invalid.groupBy("task_id").agg(F.count("*").alias("refused"), F.min_by("error", "pos").alias("first_error"))
+    return kept.join(refused, "task_id", "full").select("task_id", F.coalesce("accepted", F.lit(0)).alias("accepted"), F.coalesce("refused", F.lit(0)).alias("refused"), "first_error")
+
+
+register(
+    "url_admission", _admission,
+    f"WITH c AS (SELECT task_id, pos, url, {_U} AS u, {urls.sql_url_error('url')} AS error FROM url_submission), "
+    f"k AS (SELECT task_id, count(DISTINCT {urls.sql_url_key('u')}) AS accepted FROM c WHERE error = '' GROUP BY task_id), "
+    "r AS (SELECT task_id, count(*) AS refused, arg_min(error, pos) AS first_error FROM c WHERE error <> '' GROUP BY task_id) "
+    "SELECT coalesce(k.task_id, r.task_id) AS task_id, coalesce(accepted, 0) AS accepted, coalesce(refused, 0) AS refused, first_error FROM k FULL JOIN r ON k.task_id = r.task_id",
+)
+_CT = "CASE WHEN source_type = 'http_pdf' THEN 'Application/PDF; q=1' WHEN source_type = 'http_html' THEN 'text/html; charset=utf-8' WHEN finished_at IS NULL THEN '' ELSE 'application/octet-stream' END"
+register(
+    "url_filename", lambda spark, d: table(spark, d, "url_result").withColumn("ct", F.expr(_CT)).select("task_id", "url", urls.derive_filename(F.col("url"), F.col("ct")).alias("name")),
+    f"SELECT task_id, url, {urls.sql_filename('url', 'ct')} AS name FROM (SELECT *, {_CT} AS ct FROM url_result)",
+)
+_M = sql_strip("split_part(lower(ct), ';', 1)")
+register(
+    "content_type_route",
+    lambda spark, d: table(spark, d, "url_result").withColumn("ct", F.expr(_CT)).select("task_id", "url", urls.is_pdf_content(F.col("ct"), F.col("url")).alias("pdf"), urls.is_html_content(F.col("ct")).alias("html")),
+    f"SELECT task_id, url, {_M} IN ('application/pdf', 'application/x-pdf') OR ({_M} = 'application/octet-stream' AND (url = '' OR ends_with(lower({urls.sql_path('url')}), '.pdf'))) AS pdf, "
+    f"{_M} IN ('text/html', 'application/xhtml+xml') AS html FROM (SELECT *, {_CT} AS ct FROM url_result)",
+)
+register(
+    "url_split_extension", lambda spark, d: table(spark, d, "url_result").filter("filename is not null").select("task_id", "filename", urls.split_extension(F.col("filename"))["ext"].alias("ext")),
+    r"SELECT task_id, filename, regexp_extract(filename, '(?s)^(.*)(\.[^.]*)$', 2) AS ext FROM url_result WHERE filename IS NOT NULL",
+)
+register(
+    "url_list_txt", lambda spark, d: table(spark, d, "url_submission").select("task_id", "pos", url_lists.url_in_line(F.concat(F.lit("  see "), F.col("url"), F.lit(")."))).alias("found")),
+    f"""SELECT task_id, pos, CASE WHEN f <> '' THEN f END AS found FROM (SELECT task_id, pos, regexp_replace(regexp_extract('  see ' || url || ').', 'https?://{url_lists.NOT_WS}+', 0), {sql_quote(url_lists.TRAIL)}, '') AS f FROM url_submission)""",
+)
+
+
+def _url_list_json(spark, d):
+    lists = table(spark, d, "url_submission").groupBy("task_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", "url")))).alias("content"))
+    return lists.select("task_id", F.explode(url_lists.parse_json(F.col("content"))).alias("url"))
+
+
+register("url_list_json", _url_list_json, "SELECT task_id, url FROM url_submission WHERE starts_with(url, 'http')")
+
+# --- HTML -----------------------------------------------------------------------------------------------------------
+
+def _html(spark, d):
+    body = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: F.concat(F.lit("<p>"), F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p>"))), "\n")
+    page = F.concat(
+        F.lit("<!doctype html><html><head><meta charset='utf-8'><title>t</title><script>var a = '<p>';</script></head><body><nav><ul><li>menu</ul></nav><div style='display: none'><p>hidden</p></div>"),
+        body, F.lit("<aside>more</aside><!-- note --><footer>end</footer></body></html>"),
+    )
+    return table(spark, d, "documents").select("doc_id", html.extract(page.cast("binary"), F.lit("text/html")).alias("text"))
+
+
+register(
+    "html_text", _html,
+    f"SELECT doc_id, {sql_strip('s')} AS text FROM (SELECT doc_id, regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda y: {sql_strip('y')}), lambda x: x <> ''), chr(10)), '[ \\t]{{2,}}', ' ', 'g') AS s FROM documents)",
+)
+
+# --- scanned pages --------------------------------------------------------------------------------------------------
+
+_REGIONS = f"list_filter(flatten(list_filter(coalesce(regions, []), lambda g: g IS NOT NULL)), lambda r: r.rec.text IS NOT NULL AND r.rec.text <> '')"
+_PAGE = f"coalesce(array_to_string(list_transform({_REGIONS}, lambda r: {sql_strip('r.rec.text')}), chr(10)), '')"
+register(
+    "ocr_flatten", lambda spark, d: table(spark, d, "ocr_page").select("page_id", files.flatten_recognised(F.col("regions")).alias("text")),
+    f"SELECT page_id, {_PAGE} AS text FROM ocr_page",
+)
+register(
+    "ocr_join_pages", lambda spark, d: files.join_pages(table(spark, d, "ocr_page").select("file_name", "page_no", files.flatten_recognised(F.col("regions")).alias("t")), "file_name", "page_no", "t"),
+    f"SELECT file_name, string_agg(t, chr(10) || chr(12) || chr(10) ORDER BY page_no, t) AS raw_text FROM (SELECT file_name, page_no, {_PAGE} AS t FROM ocr_page) WHERE t <> '' GROUP BY file_name",
+)
+
+# --- jobs -----------------------------------------------------------------------------------------------------------
+
+_STATUS = (
+    "SELECT task_id, coalesce(arg_max(CASE WHEN status IN ('completed', 'failed') THEN status END, CASE WHEN status IN ('completed', 'failed') THEN row(updated_at, received_at, status) END), "
+    "arg_max(status, row(updated_at, received_at, status, processed_files, coalesce(current_file, ''), coalesce(error, ''), coalesce(output_filename, '')))) AS status, max(total_files) AS total_files, max(processed_files) AS processed_files, "
+    "CASE WHEN max(total_files) > 0 THEN CAST(round(max(processed_files) / max(total_files) * 100) AS INTEGER) END AS progress, max(record_count) AS record_count, max(output_filename) AS output_filename, max(error) AS error FROM task_status GROUP BY task_id"
+)
+register("job_status", lambda spark, d: jobs.job_status(table(spark, d, "task_status")), _STATUS)
+register("job_states", lambda spark, d: jobs.job_status(table(spark, d, "task_status")).groupBy("status").agg(F.count("*").alias("tasks")), f"SELECT status, count(*) AS tasks FROM ({_STATUS}) GROUP BY status")
+
+
+def _url_results(spark, d):
+    sub = table(spark, d, "url_submission").select("task_id", "url").distinct()
+    res = table(spark, d, "url_result").groupBy("task_id", "url").agg(F.max_by("status", F.struct("finished_at", "arrived_at", "status")).alias("status"), F.max("error").alias("error"))
+    n = table(spark, d, "pretrain").filter("source_url <> ''").groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("n"))
+    return jobs.url_results(sub, res, n, urls.url_error(F.col("url")))
+
+
+register(
+    "url_results", _url_results,
+    f"WITH c AS (SELECT DISTINCT task_id, url, {urls.sql_url_error('url')} AS refused FROM url_submission), "
+    "r AS (SELECT task_id, url, arg_max(status, row(finished_at, arrived_at, status)) AS status, max(error) AS error FROM url_result GROUP BY task_id, url), "
+    "n AS (SELECT source_url AS url, count(*) AS n FROM pretrain WHERE source_url <> '' GROUP BY source_url) "
+    "SELECT task_id, url, 'skipped' AS status, CAST(NULL AS BIGINT) AS record_count, refused AS error FROM c WHERE refused <> '' "
+    "UNION ALL SELECT c.task_id, c.url, r.status, CASE WHEN r.status = 'success' THEN coalesce(n.n, 0) END, r.error FROM c JOIN r ON c.task_id = r.task_id AND c.url = r.url LEFT JOIN n ON c.url = n.url WHERE refused = ''",
+)
+_W = "greatest(1, least(greatest(1, p_size - 2), greatest(1, CAST(floor(p_retailprice / 100 / CAST(1.8 AS DOUBLE)) AS INTEGER))))"
+_SERIAL = f"({_W} <= 1 OR p_size <= 2 OR p_retailprice / 100 < 4)"
+
+
+def _plan(spark, d):
+    p = jobs.parallel_plan(F.col("p_size"), F.col("p_retailprice") / 100)
+    return table(spark, d, "part").select("p_partkey", p["workers"].alias("workers"), p["serial"].alias("serial"))
+
+
+register("parallel_plan", _plan, f"SELECT p_partkey, CAST(CASE WHEN {_SERIAL} THEN 1 ELSE least({_W}, 8) END AS INTEGER) AS workers, {_SERIAL} AS serial FROM part")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -35,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more (it does so when the driver collects
+    garbage, by itself only every half hour)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
     """True when ``df`` (already materialised by :func:`cut`) is small enough to broadcast."""
     return df.count() * row_bytes <= limit
