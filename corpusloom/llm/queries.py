@@ -141,3 +141,19 @@ def p4_found(spark, sf_dir):
 @query
 def p4_repaired(spark, sf_dir):
     return scan_repair.repair(table(spark, sf_dir, "pretrain")).select("record_id", "text")
+
+
+def _p9_reduced(table_name: str, key: str) -> str:
+    """Reduced texts in overlapping chunks, so that cutting 60-character pieces out of a long text stays cheap."""
+    wide, plain = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+    return (
+        f"SELECT {key}, substr(r, c, 559) AS r FROM (SELECT {key}, r, unnest(range(1, greatest(2, length(r)), 500)) AS c FROM "
+        rf"(SELECT {key}, regexp_replace(lower(translate(text, '{wide}', '{plain}')), '[^\p{{L}}\p{{N}}]', '', 'g') AS r FROM {table_name} WHERE text IS NOT NULL))"
+    )
+
+
+_P9_GRAMS = "SELECT DISTINCT {k}, hash(substr(r, i, 60)) AS h, substr(r, i, 60) AS g FROM (SELECT {k}, r, unnest(range(1, length(r) - 58)) AS i FROM ({src}) WHERE length(r) >= 60)"
+ORACLE_SQL["p9_found"] = (
+    f"WITH ig AS MATERIALIZED ({_P9_GRAMS.format(k='item_id', src=_p9_reduced('eval_item', 'item_id'))}), dg AS ({_P9_GRAMS.format(k='doc_id', src=_p9_reduced('documents', 'doc_id')).replace('DISTINCT ', '')}) "
+    "SELECT DISTINCT dg.doc_id, ig.item_id FROM dg JOIN ig ON dg.h = ig.h AND dg.g = ig.g"
+)
