@@ -101,17 +101,16 @@ def test_zip_and_extract(spark, tmp_path):
         sinks.resolve_output(str(tmp_path / "out"), "../in/x.zip")
 
 
-def _web(url, settings):
-    if "slow" in url:
-        raise TimeoutError("slow")
-    if "img" in url:
-        return b"x", "image/png", url
-    return ("<p>" + "应当保存检测记录不少于十二个月，并报送主管部门备案。" * 8 + "</p>").encode(), "text/html; charset=utf-8", url
-
-
 def test_fetch(spark):
+    def web(url, settings):
+        if "slow" in url:
+            raise TimeoutError("slow")
+        if "img" in url:
+            return b"x", "image/png", url
+        return ("<p>" + "应当保存检测记录不少于十二个月，并报送主管部门备案。" * 8 + "</p>").encode(), "text/html; charset=utf-8", url
+
     urls_df = spark.createDataFrame([(0, "http://a.example/x"), (1, "http://slow.example/"), (2, "http://img.example/i"), (3, "http://localhost/"), (4, "http://a.example/x#2")], "pos int, url string")
-    records, results = api.extract_urls(urls_df, _web, "regulation", settings=Settings(retries=0))
+    records, results = api.extract_urls(urls_df, web, "regulation", settings=Settings(retries=0))
     assert {r.url: r.status for r in results.collect()} == {"http://a.example/x": "success", "http://slow.example/": "failed", "http://img.example/i": "failed", "http://localhost/": "skipped"}
     assert records.count() >= 1
 
