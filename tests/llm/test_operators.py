@@ -210,6 +210,21 @@ def test_crowded_class(table):
     assert near_dup.near_pairs(table(rows)).count() == 130 * 129 // 2
 
 
+def test_crowded_short_notices(table):
+    """Short notices with scattered edits, all of one class, keep their links without any long equal passage."""
+    r = random.Random(11)
+    base = prose(9, 77)[:200]
+    rows = []
+    for i in range(300):
+        t = list(base)
+        for k in r.sample(range(200), 3):
+            t[k] = chr(0x5000 + r.randrange(4000))
+        rows.append((i, "".join(t)))
+    truth = brute_pairs(rows)
+    got = set(map(tuple, near_dup.near_pairs(table(rows)).collect()))
+    assert len(truth) > 40_000 and got <= truth and len(got) >= 0.98 * len(truth)
+
+
 def test_pigeonring():
     bits = np.array([0b1111, 0b0001, 0b0000], np.int64)
     assert near_dup.viable(bits, np.array([8, 8, 8]), 0.5, 2).tolist() == [True, False, False]
