@@ -14,6 +14,8 @@ WS = f"[{BLANKS}]"
 NOT_WS = f"[^{BLANKS}]"
 DIGIT = r"\p{Nd}"
 HAN = "[一-鿿]"
+#: The same blanks as a plain set of signs.
+BLANK_SIGNS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def expand(pattern: str) -> str:
@@ -26,7 +28,8 @@ def multiline(pattern: str) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    """Looks at the ends alone; a pattern would search the whole text for its last blanks."""
+    return F.btrim(c, F.lit(BLANK_SIGNS))
 
 
 def lines(c: Column) -> Column:

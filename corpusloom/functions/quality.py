@@ -9,6 +9,7 @@ from corpusloom.functions.pytext import sql_quote, sql_strip, strip
 
 GARBLED = r"[\x{80}-\x{ff}]"
 FRAMES = r"[\x{80}-\x{9f}\x{2500}-\x{254b}\x{2550}-\x{257f}]"
+SUSPECT = r"[\x{80}-\x{ff}\x{2500}-\x{257f}]"
 
 # Openings of legal boilerplate sentences.
 BOILERPLATE = (
@@ -30,7 +31,8 @@ def is_mojibake(c: Column) -> Column:
     """At least six signs, over 30 % of them high Latin-1, or three of C1 and frames."""
     n = F.length(c)
     high = F.regexp_count(c, F.lit(GARBLED))
-    return (n >= 6) & ((high / n > 0.30) | (F.regexp_count(c, F.lit(FRAMES)) >= 3))
+    # nearly all texts hold none of these signs and need no counting
+    return F.when(c.rlike(SUSPECT), (n >= 6) & ((high / n > 0.30) | (F.regexp_count(c, F.lit(FRAMES)) >= 3))).otherwise(F.when(c.isNotNull(), False))
 
 
 def sql_is_mojibake(e: str) -> str:

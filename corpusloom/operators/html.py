@@ -92,10 +92,17 @@ def html_text(html: str) -> str:
 
 
 def extract(content: Column, content_type: Column) -> Column:
-    """Body text of HTML bytes; null bytes give null. General path: nesting and encodings need a parser, so it runs in Arrow batches."""
+    """Body text of HTML bytes; null bytes, and bytes no parser can read, give null. Nesting and encodings need a parser, so it
+    runs in Arrow batches."""
+
+    def one(b, ct):
+        try:
+            return None if b is None else html_text(decode(bytes(b), ct or ""))
+        except Exception:  # one page must not fail the others
+            return None
 
     @F.pandas_udf("string")
     def run(c, t):
-        return c.__class__([None if b is None else html_text(decode(bytes(b), ct or "")) for b, ct in zip(c, t)], dtype=object)
+        return c.__class__([one(b, ct) for b, ct in zip(c, t)], dtype=object)
 
     return run(content, content_type)

@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in ``corpusloom.spread`` parts where the session sets that number: files of one row group are read by one
+    task, and costly narrow work on them would run in that task alone. Unset, nothing moves."""
+    n = int(df.sparkSession.conf.get("corpusloom.spread", "0"))
+    return df.repartition(n) if n else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts: ``spark.checkpoint.dir`` where the cluster names one, else a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.pytext import strip
 from corpusloom.functions.urls import derive_filename, is_html_content, is_pdf_content, url_error
+from corpusloom.operators import html
 from corpusloom.settings import Settings
+from corpusloom.sources.http import download
 
+#: Unpacked bytes a worker holds before it hands entries on.
+OPEN_BYTES = 32 << 20
 EXTENSIONS = ("pdf", "zip", "html", "htm")
 
 
@@ -46,8 +50,9 @@ def unzip(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cols = ["zip_name", "entry_no", "entry_name", "ext", "content", "error"]
+        frame = lambda rows: pd.DataFrame(rows, columns=cols).astype({"entry_no": "Int64"})
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for zip_name, content in zip(b["file_name"], b["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -58,11 +63,15 @@ def unzip(files: DataFrame) -> DataFrame:
                                 continue
                             try:
                                 rows.append((zip_name, no, entry, ext, z.read(info), None))
+                                held += info.file_size
+                                if held > OPEN_BYTES:
+                                    yield frame(rows)
+                                    rows, held = [], 0
                             except Exception as e:  # an unreadable entry doesn't fail the archive
                                 rows.append((zip_name, no, entry, ext, None, str(e)))
                 except zipfile.BadZipFile as e:
                     rows.append((zip_name, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=cols).astype({"entry_no": "Int64"})
+            yield frame(rows)
 
     return files.select("file_name", "content").mapInPandas(run, "zip_name string, entry_no bigint, entry_name string, ext string, content binary, error string")
 
@@ -103,8 +112,9 @@ def recognise(files: DataFrame, render: Callable[[bytes, int], list[bytes]], mak
 Fetched = tuple[bytes, str, str]  # body, content type, final address
 
 
-def fetch(urls: DataFrame, fetcher: Callable[[str, Settings], Fetched], settings: Settings | None = None, sleep: Callable[[float], None] | None = None) -> DataFrame:
-    """Download results (url, success, source_type, content, filename, content_type, error): every failure is a row, never a failed task.
+def fetch(urls: DataFrame, fetcher: Callable[[str, Settings], Fetched] = download, settings: Settings | None = None, sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """Download results (url, success, source_type, content, text, filename, content_type, error) of (url): ``content`` holds
+    PDFs, ``text`` the text of pages; every failure, pages without text included, is a row, never a failed task.
 
     ``fetcher`` raises ``TimeoutError`` or ``ConnectionError`` for what may be tried again (2 ** k seconds apart)."""
     import time
@@ -116,25 +126,36 @@ def fetch(urls: DataFrame, fetcher: Callable[[str, Settings], Fetched], settings
             try:
                 body, ct, final = fetcher(url, s)
                 if len(body) > s.max_url_bytes:
-                    return None, ct, final, f"File too large: {len(body)} bytes"
+                    return None, ct, final, f"Downloaded file size exceeds max {s.max_url_bytes} bytes."
                 return body, ct, final, None
             except (TimeoutError, ConnectionError) as e:
                 if k == s.retries:
-                    return None, None, url, str(e) or type(e).__name__
+                    return None, None, url, f"Failed to download {url} after {k + 1} attempts. Last error: {str(e) or type(e).__name__}"
                 pause(2.0**k)
             except Exception as e:
                 return None, None, url, str(e) or type(e).__name__
-        return None, None, url, "no attempt"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(None, None, u, e) if e else get(u) for u, e in zip(b["url"], b["refused"])]
-            yield pd.DataFrame({"url": b["url"], "content": [g[0] for g in got], "content_type": [g[1] for g in got], "final_url": [g[2] for g in got], "error": [e or g[3] for e, g in zip(b["refused"], got)]})
+            for u, e in zip(b["url"], b["refused"]):  # one body at a time leaves the worker
+                got = (None, None, u, f"URL validation failed: {e}") if e else get(u)
+                yield pd.DataFrame([(u, *got)], columns=["url", "content", "content_type", "final_url", "error"])
 
     asked = urls.select("url", F.nullif(url_error(F.col("url")), F.lit("")).alias("refused"))
     asked = asked.repartition(s.max_downloads)
     got = asked.mapInPandas(run, "url string, content binary, content_type string, final_url string, error string")
     ct = F.coalesce("content_type", F.lit(""))
-    kind = F.when(is_pdf_content(ct, F.col("final_url")), "http_pdf").when(is_html_content(ct), "http_html")
-    error = F.when(F.col("error").isNotNull(), F.col("error")).when(kind.isNull(), F.concat(F.lit("Unsupported content type: "), ct))
-    return got.select("url", error.isNull().alias("success"), kind.alias("source_type"), "content", derive_filename(F.col("final_url"), ct).alias("filename"), "content_type", error.alias("error"))
+    kind = F.when(F.col("error").isNotNull(), None).when(is_pdf_content(ct, F.col("final_url")), "http_pdf").when(is_html_content(ct), "http_html")
+    page = F.when(F.lit(s.html_mode != "skip") & (F.col("kind") == "http_html"), html.extract(F.when(F.col("kind") == "http_html", F.col("content")), F.col("content_type")))
+    read = got.withColumn("kind", kind).withColumn("text", page)
+    # Messages.
+    error = (
+        F.when(F.col("error").isNotNull(), F.col("error"))
+        .when(F.col("kind").isNull(), F.concat(F.lit("Unsupported content type '"), ct, F.lit("'. Only PDF and HTML are accepted.")))
+        .when((F.col("kind") == "http_html") & F.lit(s.html_mode == "skip"), "HTML extraction is disabled (html_extraction_mode=skip).")
+        .when((F.col("kind") == "http_html") & (strip(F.coalesce("text", F.lit(""))) == ""), "HTML page contains no extractable text.")
+    )
+    return read.select(
+        "url", error.isNull().alias("success"), F.col("kind").alias("source_type"), F.when(F.col("kind") == "http_pdf", F.col("content")).alias("content"), "text",
+        F.when(F.col("content_type").isNotNull(), derive_filename(F.col("final_url"), ct)).alias("filename"), "content_type", error.alias("error"),
+    )

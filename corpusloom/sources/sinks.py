@@ -18,6 +18,16 @@ def output_name(stem: Column, regulation: Column, at: Column) -> Column:
     return F.concat(F.when(regulation, "reg_").otherwise(""), stem, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".jsonl"))
 
 
+def batch_name(at: Column, digest: Column) -> Column:
+    """Name of the merged result of an address batch."""
+    return F.concat(F.lit("url_batch_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(digest, 1, 8), F.lit(".jsonl"))
+
+
+def archive_name(stem: Column, regulation: Column, at: Column) -> Column:
+    """Name of the merged result of an archive."""
+    return F.concat(F.when(regulation, "reg_").otherwise("batch_"), stem, F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(".jsonl"))
+
+
 def resolve_output(base: str, name: str) -> Path:
     """Path of a result inside the output folder; PermissionError outside it, FileNotFoundError if there is none."""
     root = Path(base).resolve()

@@ -49,6 +49,8 @@ def parse_url_list(content: Column, ext: Column) -> Column:
 
 
 def read_url_list(spark, path: str) -> DataFrame:
-    """(pos, url) of the list files under a path."""
+    """(pos, url) of the list files under a path; a file that is no list fails the read."""
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("content"), F.element_at(F.split(F.input_file_name(), r"\."), -1).alias("ext"))
-    return files.select(F.posexplode(parse_url_list(F.col("content"), F.col("ext"))).alias("pos", "url"))
+    known = F.lower("ext").isin("txt", "text", "csv", "json")
+    ext = F.when(known, F.col("ext")).otherwise(F.raise_error(F.concat(F.lit("Unsupported file type: ."), "ext")))
+    return files.withColumn("ext", ext).select(F.posexplode(parse_url_list(F.col("content"), F.col("ext"))).alias("pos", "url"))

@@ -33,6 +33,18 @@ def test_query(spark, duck, name):
         assert rows == Counter(repr(tuple(x[i] for i in at)) for x in got.fetchall())
 
 
+STAGES = [n for n in entry.core.QUERIES if entry.core.QUERIES[n].__closure__ and n.startswith(("patent_", "regulation_")) and "AS text FROM (SELECT record_id, replace(" in entry.core.ORACLE_SQL[n]]
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stage_changes_texts(duck, name):
+    """Every cleaning query meets what its stage is made for."""
+    kind = name.split("_")[0]
+    plain = f"SELECT record_id, text AS before FROM ({entry.core.sql_decorated('pretrain', 'record_id', kind)})"
+    (n,) = duck.execute(f"SELECT count(*) FROM ({entry.core.ORACLE_SQL[name]}) JOIN ({plain}) USING (record_id) WHERE text <> before").fetchone()
+    assert n == 300
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

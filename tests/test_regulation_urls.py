@@ -8,7 +8,7 @@ from corpusloom.functions import quality, urls
 from corpusloom.operators import html, regulation, segment
 from corpusloom.plans import api, jobs
 from corpusloom.settings import Settings
-from corpusloom.sources import files, sinks, url_lists
+from corpusloom.sources import files, http, sinks, url_lists
 
 
 @pytest.mark.parametrize(
@@ -115,6 +115,183 @@ def test_fetch(spark):
     assert records.count() >= 1
 
 
+@pytest.fixture
+def web(tmp_path):
+    """A local server with pages, files, redirects and faults."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = []
+
+    class Web(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            self.answer(False)
+
+        def do_GET(self):
+            self.answer(True)
+
+        def log_message(self, *a):
+            pass
+
+        def answer(self, body):
+            asked.append((self.command, self.path, self.headers.get("User-Agent")))
+            p = self.path
+            if p.startswith("/hop"):
+                n = int(p[4:])
+                self.send_response(302)
+                self.send_header("Location", f"/hop{n - 1}" if n else "/page")
+                self.end_headers()
+                return
+            if p == "/gone":
+                self.send_error(404)
+                return
+            kind, data = {"/page": ("text/html; charset=utf-8", ("<p>" + "应当保存检测记录不少于十二个月，并报送主管部门备案。" * 8 + "</p>").encode()), "/blank": ("text/html", b"<nav>menu</nav>"),
+                          "/doc.pdf": ("application/pdf", b"a|b"), "/img": ("image/png", b"x"), "/big": ("text/html", b"x" * 5000), "/short": ("text/html", b"<p>kurz</p>")}[p]
+            self.send_response(200)
+            self.send_header("Content-Type", kind)
+            if p != "/big" or not body:
+                self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            if body:
+                self.wfile.write(data)
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Web)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_client(web):
+    base, asked = web
+    s = Settings(max_url_bytes=1000, max_redirects=2, user_agent="agent/7", read_timeout_s=5)
+    body, ct, final = http.download(base + "/hop1", s)
+    assert b"\xe5" in body and ct.startswith("text/html") and final == base + "/page" and asked[0][2] == "agent/7"
+    with pytest.raises(ValueError, match="redirects"):
+        http.download(base + "/hop5", s)
+    with pytest.raises(ValueError, match="HTTP 404"):
+        http.download(base + "/gone", s)
+    with pytest.raises(ValueError, match="Content-Length 5000 exceeds max allowed size 1000 bytes"):
+        http.download(base + "/big", s)
+    assert ("GET", "/big") not in {x[:2] for x in asked}
+    with pytest.raises(ConnectionError):
+        http.download("http://127.0.0.1:9/", Settings(connect_timeout_s=2))
+    with pytest.raises(ValueError, match="scheme"):
+        http.download("ftp://127.0.0.1/", s)
+
+
+def _at(base):
+    """Fetches hosts of addresses that are allowed from the local server."""
+    return lambda url, s: http.download(base + "/" + url.split("/", 3)[3], s)
+
+
+def test_fetched_failures(spark, web):
+    base, _ = web
+    paths = ("page", "blank", "img", "gone", "doc.pdf", "big")
+    asked = spark.createDataFrame([(i, f"http://a.example/{p}") for i, p in enumerate(paths)] + [(9, "http://localhost/x")], "pos int, url string")
+    s = Settings(max_url_bytes=1000, retries=0)
+    rows = {r.url.rsplit("/", 1)[1]: r for r in files.fetch(asked, _at(base), s).collect()}
+    assert rows["page"].success and rows["page"].content is None and rows["page"].text.startswith("应当")
+    assert rows["doc.pdf"].success and bytes(rows["doc.pdf"].content) == b"a|b" and rows["doc.pdf"].filename == "doc.pdf"
+    assert {k: r.error for k, r in rows.items() if not r.success} == {
+        "blank": "HTML page contains no extractable text.", "img": "Unsupported content type 'image/png'. Only PDF and HTML are accepted.", "gone": "HTTP 404: Not Found",
+        "big": "Content-Length 5000 exceeds max allowed size 1000 bytes. Refusing to download.", "x": "URL validation failed: Internal hostname 'localhost' is not allowed.",
+    }
+    skipped = files.fetch(asked.filter("pos = 0"), _at(base), Settings(html_mode="skip")).collect()[0]
+    assert not skipped.success and skipped.error == "HTML extraction is disabled (html_extraction_mode=skip)."
+
+
+def test_retries():
+    from pyspark.sql import SparkSession
+
+    def down(url, s):
+        raise TimeoutError("slow")
+
+    spark = SparkSession.getActiveSession()
+    row = files.fetch(spark.createDataFrame([("http://a.example/",)], "url string"), down, Settings(retries=2), sleep=lambda x: None).collect()[0]
+    assert row.error == "Failed to download http://a.example/ after 3 attempts. Last error: slow" and row.filename is None
+
+
+def test_single_address(spark, web, tmp_path):
+    base, _ = web
+    s = Settings(output_dir=str(tmp_path), retries=0)
+    got = api.extract_url(spark, "http://a.example/page", "regulation", _at(base), settings=s)
+    assert got.record_count >= 1 and got.source == "http_html" and got.source_url == "http://a.example/page" and got.preview[0]["category"] == "法规文本"
+    assert spark.read.json(str(api.read_output(got.filename, s))).count() == got.record_count
+    for path, why in (("blank", "HTML page contains no extractable text."), ("gone", "HTTP 404"), ("short", "no usable content")):
+        with pytest.raises(api.Refused, match=why):
+            api.extract_url(spark, f"http://a.example/{path}", "regulation", _at(base), settings=s)
+    with pytest.raises(api.Refused, match="Internal hostname"):
+        api.extract_url(spark, "http://localhost/x", settings=s)
+    pdf = api.extract_url(spark, "http://a.example/doc.pdf", "regulation", _at(base), lambda c, dpi: [c], lambda: lambda page: "应当保存检测记录不少于十二个月，并报送主管部门备案。" * 8, s)
+    assert pdf.source == "http_pdf" and pdf.filename.startswith("doc_")
+    with pytest.raises(api.Refused) as e:
+        api.read_output("none.jsonl", s)
+    assert e.value.status == 404
+
+
+def test_single_file_and_archive(spark, tmp_path):
+    body = "<p>" + "根据质疑答复的要求，应当保存检测记录不少于十二个月。" * 8 + "</p>"
+    s = Settings(output_dir=str(tmp_path / "out"))
+    for d in ("a", "b", "z", "bad"):
+        (tmp_path / d).mkdir()
+    (tmp_path / "a/p.html").write_text(body)
+    (tmp_path / "b/p.html").write_text("<nav>x</nav>")
+    (tmp_path / "bad/x.zip").write_bytes(b"nope")
+    with zipfile.ZipFile(tmp_path / "z/x.zip", "w") as z:
+        z.writestr("one.html", body)
+        z.writestr("two.html", "<nav>x</nav>")
+        z.writestr("three.pdf", "x")
+    got = api.extract_file(spark, str(tmp_path / "a/p.html"), "regulation", settings=s)
+    assert got.filename.startswith("reg_p_") and got.source == "local_html" and got.record_count >= 1
+    with pytest.raises(api.Refused, match="no extractable text"):
+        api.extract_file(spark, str(tmp_path / "b/p.html"), "regulation", settings=s)
+    done, results = api.extract_archive(spark, str(tmp_path / "z/x.zip"), "patent", settings=s)
+    assert done.filename.startswith("batch_x_") and done.record_count >= 1
+    assert {r.file_name: r.status for r in results.collect()} == {"x.zip/one.html": "success", "x.zip/two.html": "failed", "x.zip/three.pdf": "failed"}
+    with pytest.raises(api.Refused, match="Invalid ZIP"):
+        api.extract_archive(spark, str(tmp_path / "bad/x.zip"), settings=s)
+
+
+def test_status_lookup(spark):
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    reports = spark.createDataFrame([("a", "completed", 2, 2, "f", 3, "o", None, t, t)], "task_id string, status string, total_files int, processed_files int, current_file string, record_count int, output_filename string, error string, updated_at timestamp, received_at timestamp")
+    assert api.task_status(reports, "a")["progress"] == 100
+    with pytest.raises(api.Refused) as e:
+        api.task_status(reports, "b")
+    assert e.value.status == 404
+
+
+# One literal case per stage: text, what it becomes.
+STAGES = {
+    "bracket_line": ("甲\n【附件】 \n【一】乙", "甲\n\n【一】乙"),
+    "bracket": ("甲【附件】乙【】", "甲乙"),
+    "table_border": ("|--=＋", "|--=＋"),
+    "box_drawing": ("┌─┐甲│", "甲"),
+    "filler_line": ("□▲。\n□▲甲", "\n□▲甲"),
+    "single_sign": (" 京 ", ""),
+    "check_box": ("□□\n□甲", "\n□甲"),
+    "short_digits": ("07\n123", "\n123"),
+    "phone": ("13800138000\n138001", "\n138001"),
+    "grade": ("甲级\n甲级企业", "\n甲级企业"),
+    "column_label": ("联系人\n联系人：", "\n联系人："),
+    "serial": ("2020-123456AB\n2020-12", "\n2020-12"),
+}
+
+
+@pytest.mark.parametrize("stage", regulation.STAGES, ids=lambda s: s[0])
+def test_regulation_stage(column, stage):
+    text, want = STAGES[stage[0]]
+    assert column(lambda c: regulation.apply_stage(c, stage), text)[0] == want
+
+
+def test_regulation_lines(column):
+    assert column(regulation.strip_invisible, "\ufeff甲\u200b\u00a0乙\r丙\x07")[0] == "甲 乙\n丙"
+    assert column(regulation.drop_garbled_lines, "æåå¤§å­¦ç\n甲乙\ncafé", "甲\n乙") == ["甲乙\ncafé", "甲\n乙"]
+    assert column(regulation.drop_short_lines, "ab\n（三）\n第二条\n甲乙丙\n甲乙\n\nabcdef", None) == ["（三）\n第二条\n甲乙丙\n\nabcdef", None]
+
+
 def test_ocr(spark):
     t = "array<array<struct<box:array<array<double>>,rec:struct<text:string,conf:double>>>>"
     rows = [("f", 2, [[{"box": None, "rec": {"text": " b ", "conf": 1.0}}, {"box": None, "rec": {"text": "", "conf": 1.0}}], None]), ("f", 1, [[{"box": None, "rec": {"text": "a", "conf": 1.0}}]]), ("f", 3, None)]
