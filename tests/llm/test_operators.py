@@ -226,8 +226,36 @@ def test_crowded_short_notices(table):
 
 
 def test_pigeonring():
-    bits = np.array([0b1111, 0b0001, 0b0000], np.int64)
-    assert near_dup.viable(bits, np.array([8, 8, 8]), 0.5, 2).tolist() == [True, False, False]
+    full, half = np.uint64(2**64 - 1), np.uint64(0xFFFFFFFF)
+    same = np.tile(full, (3, 8))
+    other = same.copy()
+    other[1, :3] = 0  # 3 of 8 boxes missing: beyond the budget and its noise
+    other[2] = half  # half of every box missing: no chain keeps within it, wherever it starts
+    small = np.tile(half, (3, 8))
+    assert near_dup.likely(same, same, 0.7).all()
+    assert near_dup.likely(small, small & ~np.uint64(7), 0.7).all()
+    kept = np.tile(np.uint64(0x0F0F0F0F), (1, 8))
+    assert not near_dup.likely(kept, ~kept, 0.7).any()
+    few = np.tile(np.uint64(0xFFFF), (1, 8))
+    assert near_dup.likely(few, few & ~np.uint64(0x1F), 0.7)[0] and not near_dup.likely(few, few & ~np.uint64(0x3FF), 0.7)[0]
+
+
+def test_chains():
+    """Texts meet in two boxes without a difference, and the further boxes of a chain are told apart."""
+    ring = np.arange(64, dtype=np.uint64).reshape(2, 32) << np.uint64(20)
+    ring[1, 5:8] = ring[0, 5:8]
+    key, more = near_dup.chains(ring)
+    assert np.flatnonzero(key[0] == key[1]).tolist() == [5, 6]
+    assert (more[0, 5] >> np.uint64(48)) == (more[1, 5] >> np.uint64(48)) and more[0, 5] != more[1, 5]
+
+
+def test_hot_chains_are_spread(table, monkeypatch):
+    """Chains beyond any bound are divided into blocks whose pairs are all looked at, once each way."""
+    monkeypatch.setattr(near_dup, "HOT", 32)
+    monkeypatch.setattr(near_dup, "HOT_SHARE", 10**9)
+    base = prose(12, 3)
+    rows = [(i, base + f"补充说明第{i}条。") for i in range(200)]
+    assert near_dup.near_pairs(table(rows)).count() == 200 * 199 // 2
 
 
 # --- 7 ---------------------------------------------------------------------------------------------------------------
