@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import os
+import shutil
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in ``corpusloom.spread`` parts where the session sets that number: files of one row group are read by one
+    """``df`` in ``spark.corpusloom.spread`` parts where the session sets that number: files of one row group are read by one
     task, and costly narrow work on them would run in that task alone. Unset, nothing moves."""
-    n = int(df.sparkSession.conf.get("corpusloom.spread", "0"))
+    n = int(df.sparkSession.conf.get("spark.corpusloom.spread", "0"))
     return df.repartition(n) if n else df
 
 
@@ -34,23 +34,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="corpusloom-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+#: Lets Spark delete the shuffle files of an execution as soon as it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared checkpoint folder; later reads survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more (it does so when the driver collects
-    garbage, by itself only every half hour)."""
-    for _ in range(2):  # the first round only drops the proxies that hold the plans
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    """Materialise ``df`` once in the shared checkpoint folder; later reads survive the loss of any executor.
+
+    The shuffle files that led there are of no further use, so Spark is told to delete them with the execution; otherwise
+    they would stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
 
 
 def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
