@@ -183,7 +183,7 @@ def test_fit_and_find(table):
 def brute_pairs(rows):
     sets = {}
     for i, t in rows:
-        x = re.sub("[\t\n\r  　]", "", t or "")
+        x = re.sub("[\t\n\r \xa0\u3000]", "", t or "")
         sets[i] = {x[k : k + 5] for k in range(len(x) - 4)}
     ids = sorted(sets)
     return {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.7 * min(len(sets[a]), len(sets[b]))}
@@ -226,23 +226,18 @@ def test_crowded_short_notices(table):
 
 
 def test_pigeonring():
-    full, half = np.uint64(2**64 - 1), np.uint64(0xFFFFFFFF)
-    same = np.tile(full, (3, 8))
-    other = same.copy()
-    other[1, :3] = 0  # 3 of 8 boxes missing: beyond the budget and its noise
-    other[2] = half  # half of every box missing: no chain keeps within it, wherever it starts
-    small = np.tile(half, (3, 8))
-    assert near_dup.likely(same, same, 0.7).all()
-    assert near_dup.likely(small, small & ~np.uint64(7), 0.7).all()
-    kept = np.tile(np.uint64(0x0F0F0F0F), (1, 8))
-    assert not near_dup.likely(kept, ~kept, 0.7).any()
-    few = np.tile(np.uint64(0xFFFF), (1, 8))
-    assert near_dup.likely(few, few & ~np.uint64(0x1F), 0.7)[0] and not near_dup.likely(few, few & ~np.uint64(0x3FF), 0.7)[0]
+    full, few = np.tile(np.uint64(2**64 - 1), (1, 8)), np.tile(np.uint64(0xFFFF), (1, 8))
+    assert near_dup.likely(full, full, 0.7)[0] and near_dup.likely(few, few & ~np.uint64(0x1F), 0.7)[0]
+    gone = few.copy()
+    gone[0, :4] = 0xFFFF0000  # four of eight boxes differ wholly, four not at all: no chain around the ring keeps within
+    assert not near_dup.likely(few, gone, 0.7)[0]
+    assert not near_dup.likely(few, few & ~np.uint64(0x3FF) | np.uint64(0x3FF0000), 0.7)[0]  # every box beyond its budget
 
 
 def test_chains():
     """Texts meet in two boxes without a difference, and the further boxes of a chain are told apart."""
-    ring = np.arange(64, dtype=np.uint64).reshape(2, 32) << np.uint64(20)
+    rng = np.random.default_rng(3)
+    ring = rng.integers(0, 2**63, (2, 32)).astype(np.uint64)
     ring[1, 5:8] = ring[0, 5:8]
     key, more = near_dup.chains(ring)
     assert np.flatnonzero(key[0] == key[1]).tolist() == [5, 6]
