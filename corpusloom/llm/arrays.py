@@ -1,12 +1,16 @@
-"""Code-point arrays: texts of a batch as numpy arrays, cut into pieces of bounded size."""
+"""Code-point arrays: texts of a batch as numpy arrays, cut into pieces of bounded size; counts over all texts of a table."""
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Code points handled at once; bounds the memory of the vectorised passes whatever the length of a text.
 PIECE = 400_000
@@ -101,3 +105,27 @@ def pieces(arrays: list[np.ndarray], overlap: int) -> Iterator[tuple[np.ndarray,
             start += PIECE - overlap
     if buf:
         yield flush()
+
+
+def counted(texts: DataFrame, keys: int, of: Callable[[str], Iterable[tuple]]) -> DataFrame:
+    """(k0, k1, ..., n) of all texts: what ``of(text)`` yields, added up in each task before the shuffle."""
+    names = [f"k{j}" for j in range(keys)]
+
+    def run(batches):
+        c: Counter = Counter()
+
+        def out():
+            rows = list(c)
+            return pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in rows], pa.string()) for j in range(keys)), pa.array([c[k] for k in rows], pa.int64())], names=[*names, "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    c.update(of(t))
+            if len(c) > 300_000:
+                yield out()
+                c.clear()
+        yield out()
+
+    rows = texts.mapInArrow(run, ", ".join(f"{k} string" for k in names) + ", n bigint")
+    return rows.groupBy(*names).agg(F.sum("n").alias("n"))

@@ -11,9 +11,9 @@ suffices, and no leak is missed. Each document is sketched in one narrow pass ov
 two fingerprints per passage kept); matches with an item's fingerprints are verified by exact comparison around the
 shared shingle, in the same pass, so no text is shuffled.
 
-The item index is built per block of a size partition and shipped with the task; a block holds at most
-``BLOCK_CHARS`` reduced characters whatever the number of items, and further blocks are further passes over the
-documents. Defined cases: null or short texts (under ``passage`` reduced characters) match nothing; empty tables give no
+Items of at most ``INDEX_CHARS`` characters in all are indexed by size class and broadcast; more of them meet the
+documents by a shuffle of both sides' fingerprints instead, still in one scan of the documents. Defined cases: null or
+short texts (under ``passage`` reduced characters) match nothing, nor do null ids; empty tables give no
 rows; repeated rows and copies are each reported, equal result rows once; further columns are not looked at.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import gram_hashes, pieces, reduced, window_min
 
-#: Reduced characters of items in one index block (about 30 bytes each in a task).
-BLOCK_CHARS = 2_000_000
+#: Characters of all items up to which their index is broadcast (about 30 bytes each in a task).
+INDEX_CHARS = 2_000_000
 SHINGLE = 20
 
 
@@ -53,7 +53,7 @@ def fingerprints(values: np.ndarray, owner: np.ndarray, passage: int, k: int = S
 
 
 class ItemIndex:
-    """Sorted fingerprints of one block of items, with the reduced texts for verification."""
+    """Sorted fingerprints of the items of one size class, with the reduced texts for verification."""
 
     def __init__(self, ids: list[int], texts: list[str], passage: int):
         self.passage, self.ids = passage, ids
@@ -71,21 +71,17 @@ class ItemIndex:
         else:
             self.h, self.own, self.pos = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int]]:
-        """(row, item index, longest common run) of every leak in the texts."""
-        arrays = [reduced(t) if t else np.zeros(0, np.uint32) for t in texts]
+    def search(self, texts: list[np.ndarray], h: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row, item index, longest common run) of every leak in the reduced texts, by their fingerprints."""
         best: dict[tuple[int, int], int] = {}
-        for values, owner, offset in pieces(arrays, self.passage - 1):
-            h, at = fingerprints(values, owner, self.passage)
-            lo = np.searchsorted(self.h, h, "left")
-            hi = np.searchsorted(self.h, h, "right")
-            for j in np.flatnonzero(hi > lo):
-                row, p = int(owner[at[j]]), int(offset[at[j]])
-                for x in range(lo[j], hi[j]):
-                    item = int(self.own[x])
-                    run = common_run(arrays[row], p, self.texts[item], int(self.pos[x]))
-                    if run >= self.passage:
-                        best[row, item] = max(best.get((row, item), 0), run)
+        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        for j in np.flatnonzero(hi > lo):
+            row, p = int(owner[j]), int(offset[j])
+            for x in range(lo[j], hi[j]):
+                item = int(self.own[x])
+                run = common_run(texts[row], p, self.texts[item], int(self.pos[x]))
+                if run >= self.passage:
+                    best[row, item] = max(best.get((row, item), 0), run)
         for (row, item), run in best.items():
             yield row, item, run
 
@@ -100,41 +96,71 @@ def common_run(a: np.ndarray, p: int, b: np.ndarray, q: int) -> int:
     return fore + (int(d[0]) if len(d) else m)
 
 
-def item_blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list]:
-    """Blocks of items within one size class (powers of two of the length), each bounded in characters."""
-    sized = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("t is not null and i is not null")
-    sized = sized.withColumn("c", F.floor(F.log2(F.length("t") + 1)).cast("int")).orderBy("c", "i")
-    block, size, cls = [], 0, None
-    for r in sized.toLocalIterator():
-        if block and size + len(r.t) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((r.i, r.t))
-        size += len(r.t)
-    if block:
-        yield block
+class SizedIndex:
+    """An index for each size class of the items (powers of two of the length)."""
 
+    def __init__(self, rows: list[tuple[int, str]], passage: int):
+        classes: dict[int, list[tuple[int, str]]] = {}
+        for i, t in rows:
+            classes.setdefault(len(t).bit_length(), []).append((i, t))
+        self.parts = [ItemIndex([i for i, _ in c], [t for _, t in c], passage) for _, c in sorted(classes.items())]
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 60) -> DataFrame:
+
+def marks(df: DataFrame, key: str, text: str, passage: int) -> DataFrame:
+    """(key, h, at): the fingerprints of every passage-long run of each text, and where they stand in the reduced text."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for values, owner, offset in pieces([reduced(t) if t else np.zeros(0, np.uint32) for t in b.column(1).to_pylist()], passage - 1):
+                h, at = fingerprints(values, owner, passage)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[owner[at]], pa.int64()), pa.array(h.view(np.int64)), pa.array(offset[at], pa.int64())], names=[key, "h", "at"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} bigint, h bigint, at bigint").distinct()
+
+
+def _joined_leaks(docs: DataFrame, items: DataFrame, passage: int) -> DataFrame:
+    """Leaks of any number of items: fingerprints of both sides meet by shuffle, then the texts of what met are compared."""
+    met = marks(docs, "d", "t", passage).join(marks(items, "i", "x", passage).withColumnRenamed("at", "q"), "h")
+    met = met.groupBy("d", "i").agg(F.collect_set(F.struct("at", "q")).alias("at"))
+    both = met.join(items.dropDuplicates(["i", "x"]), "i").join(docs.dropDuplicates(["d", "t"]), "d").select("d", "i", "t", "x", "at")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for d, i, t, x, at in zip(*(b.column(c).to_pylist() for c in range(5))):
+                a, c = reduced(t), reduced(x)
+                fits = [common_run(a, p["at"], c, p["q"]) for p in at if p["at"] < len(a) and p["q"] < len(c)]
+                if fits and max(fits) >= passage:
+                    rows.append((d, i, max(fits)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["doc_id", "item_id", "run"])
+
+    return both.mapInArrow(run, "doc_id bigint, item_id bigint, run bigint")
+
+
+def find_leaks(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", passage: int = 60, index_chars: int = INDEX_CHARS
+) -> DataFrame:
     """(doc_id, item_id, run): every document with the items it gives away and the longest common run."""
-    schema = "doc_id bigint, item_id bigint, run bigint"
-    src = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).alias("t"))
-    out = None
-    for block in item_blocks(items, item_id, item_text):
-        ids, texts = [i for i, _ in block], [t for _, t in block]
-
-        def scan(batches, ids=ids, texts=texts):
-            index = ItemIndex(ids, texts, passage)
+    src = docs.select(F.col(doc_id).cast("bigint").alias("d"), F.col(doc_text).alias("t")).filter("d is not null")
+    asked = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("x")).filter("x is not null and i is not null")
+    chars = asked.agg(F.sum(F.length("x"))).first()[0] or 0
+    if chars > index_chars:
+        out = _joined_leaks(src, asked, passage)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast([(r.i, r.x) for r in asked.collect()])
+
+        def scan(batches):
+            index = SizedIndex(shared.value, passage)
             for b in batches:
-                rows = b.column(1).to_pylist()
-                keys = b.column(0).to_pylist()
-                found = sorted({(keys[r], ids[x], n) for r, x, n in index.search(rows)}, key=str)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["doc_id", "item_id", "run"]
-                )
-
-        part = src.mapInArrow(scan, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], schema)
+                keys, found = b.column(0).to_pylist(), []
+                texts = [reduced(t) if t else np.zeros(0, np.uint32) for t in b.column(1).to_pylist()]
+                for values, owner, offset in pieces(texts, passage - 1):
+                    h, at = fingerprints(values, owner, passage)
+                    for part in index.parts:
+                        found += [(keys[r], part.ids[x], n) for r, x, n in part.search(texts, h, owner[at], offset[at])]
+                found = sorted(set(found))
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["doc_id", "item_id", "run"])
+
+        out = src.mapInArrow(scan, "doc_id bigint, item_id bigint, run bigint")
     return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"))

@@ -1,16 +1,17 @@
 """Noise in text from scanned pages.
 
-An averaged-perceptron character editor predicts for each sign keep, replace, delete or (for two signs read for one)
-replace together, and for each line end join with or without what stands at it; page-position features find the lines
-that a page prints around its text (numbers that count up from page to page, lines that return word by word, the title
-printed again).
+An averaged-perceptron character editor predicts for each sign keep, replace, delete, insert (a sign behind it) or, for two
+signs read for one, replace together; page-position features find the lines that a page prints around its text (numbers
+that count up from page to page, lines that return word by word, the title printed again). Which line ends fall inside a
+sentence, and so are joined, is decided by the sentence decoder on the text without the page's print.
 
 The editor trains itself. Clean text of the same table (web pages) tells which signs stand in which surroundings; signs
-of scanned text that never stand in theirs while exactly one other sign does give the confusion pairs, with their
-support. Clean lines are then corrupted with these pairs and the perceptron learns to undo it, over hashed features of
-the surrounding signs and their shapes. The fit reads at most ``FIT_ROWS`` records of either kind (least id hash); the
-editor reads every scanned record whole, in one narrow pass. Which line ends fall inside a sentence is decided by the
-sentence decoder on the text without the page's print.
+of scanned text that never stand in theirs while exactly one other sign does give the confusion pairs, signs between two
+that clean text knows as neighbours the strays, and neighbours that clean text always parts by one sign the dropped ones.
+All this is counted over every record in Spark, by hash of the surroundings, each task adding up its own before the
+shuffle; support is relative to the number of scanned signs. Clean lines (``FIT_ROWS`` records, least id hash: the labelled
+sample of the classifier) are then corrupted with these pairs and the perceptron learns to undo it, over hashed features of
+the surrounding signs and their shapes. The editor reads every scanned record whole, in one narrow pass.
 
 Defined cases: null, empty or one-line text has no line faults but may have misread signs; other sources pass through
 unchanged; a table without clean text gives an editor that keeps everything; repeated rows give equal rows; other columns
@@ -31,13 +32,20 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import lookalike
 from corpusloom.llm import sentences as sent
-from corpusloom.llm.arrays import PIECE, codes
-from corpusloom.session import hash_sample
+from corpusloom.llm.arrays import PIECE, codes, counted
+from corpusloom.session import cut, hash_sample
 
 SCANNED = ("local_pdf", "zip_pdf", "http_pdf", "url_batch")
 CLEAN = ("http_html", "local_html")
-FIT_ROWS = 1500
+FIT_ROWS = 3000
 FEATURES = 1 << 18
+#: Occurrences of a pair from which on it counts, and the share of all scanned signs they must make up.
+SUPPORT, SUPPORT_SHARE = 6, 3e-6
+#: Share of a sign's places, where clean text leaves no doubt about it, in which the other must stand.
+SHARE_MISREAD = 0.0006
+#: Words of clean text that are known when a word is divided, the most frequent first.
+MAX_WORDS = 500_000
+_HAN_SIGN = re.compile("[一-鿿]")
 #: Pairs of signs that are read for one.
 MERGES = (("rn", "m"), ("vv", "w"), ("cl", "d"))
 MARKS = "-‐‑¬­"
@@ -140,6 +148,15 @@ def features(a: np.ndarray, at: np.ndarray, width: np.ndarray, op: np.ndarray) -
 KEEP, DELETE = 0, 1
 
 
+def operation(to: str) -> int:
+    """Code of the operation that puts ``to`` (none, one or two signs) in a place."""
+    return DELETE if not to else 2 + ord(to[0]) + (ord(to[1]) << 21 if len(to) == 2 else 0)
+
+
+def _signs(op: int) -> str:
+    return "" if op == DELETE else chr((op - 2) & 0x1FFFFF) + (chr((op - 2) >> 21) if (op - 2) >> 21 else "")
+
+
 class Editor:
     """Averaged perceptron over the operations that the confusion pairs allow for a sign."""
 
@@ -172,8 +189,8 @@ class Editor:
                 continue
             for c in cs:
                 rows.append(r)
-                ops.append(np.full(len(r), ord(c) + 2 if c else DELETE, np.int64))
-                to.append(np.full(len(r), ord(c) if c else 0, np.int64))
+                ops.append(np.full(len(r), operation(c), np.int64))
+                to.append(np.full(len(r), operation(c), np.int64))
         if not rows:
             z = np.zeros(0, np.int64)
             return z, z, z
@@ -232,7 +249,7 @@ class Editor:
             r = int(rows[j])
             if r not in best or sc[j] > best[r][0]:
                 best[r] = (float(sc[j]), int(to[j]))
-        return [(int(at[r]), int(width[r]), chr(c) if c else "") for r, (_, c) in sorted(best.items())]
+        return [(int(at[r]), int(width[r]), _signs(c)) for r, (_, c) in sorted(best.items())]
 
 
 def padded(text: str) -> np.ndarray:
@@ -268,41 +285,74 @@ def _windows(a: np.ndarray) -> np.ndarray:
     return _mix(lv[:-4], lv[1:-3], lv[3:-1], lv[4:])
 
 
-def confusions(clean: list[str], scanned: list[str], support: int = 6) -> dict[str, list[str]]:
-    """Confusion pairs: misread sign -> right signs ("" = a stray mark), counted over the scanned texts."""
-    a = padded("\n".join(clean))
-    ctx, mid = _windows(a), _level(a)[2:-2].astype(np.int64)
-    known: dict[int, Counter] = defaultdict(Counter)
-    u, n = np.unique(np.stack([ctx.view(np.int64), mid]), axis=1, return_counts=True)
-    keep = n >= 3
-    for c, m, k in zip(u[0][keep].tolist(), u[1][keep].tolist(), n[keep].tolist()):
-        known[c][m] = k
-    seen = set(ctx.view(np.int64).tolist())
-    lv = _level(a)
-    four = _mix(lv[:-3], lv[1:-2], lv[2:-1], lv[3:]).view(np.int64)
-    fu, fn = np.unique(four, return_counts=True)
-    adjacent = set(fu[fn >= 3].tolist())
-    pairs: Counter = Counter()
-    for t in scanned:
-        b = padded(t)
-        if len(b) < 12:
-            continue
-        c, m = _windows(b).view(np.int64), _level(b)[2:-2].astype(np.int64)
-        for k in range(2, len(c) - 2):
-            x = int(m[k])
-            got = known.get(int(c[k]))
-            if got is not None:
-                if x not in got and (len(got) == 1 or max(got.values()) >= 0.8 * sum(got.values())) and sum(got.values()) >= 4:
-                    pairs[chr(x), chr(max(got, key=got.get))] += 1
-            elif int(c[k]) not in seen and not chr(x).isalnum() and x != 0x20 and int(c[k]) in adjacent:
-                pairs[chr(x), ""] += 1
-    right = Counter()
-    for (x, c), n in pairs.items():
-        right[x] += n
+def _surroundings(texts: DataFrame, flat) -> DataFrame:
+    """(ctx, mid, n) over all texts: how often a sign (digits levelled) stands between the two signs on either side, and,
+    with -1 less the sign before the gap as mid, how often two and two signs are neighbours."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            ctx, mid = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((mid, ctx))
+            ctx, mid = ctx[order], mid[order]
+            first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (mid[1:] != mid[:-1])]))
+            n = np.diff(np.append(first, len(ctx)))
+            for k in range(0, len(first), 1 << 17):
+                at = first[k : k + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[at]), pa.array(mid[at]), pa.array(n[k : k + (1 << 17)])], names=["ctx", "mid", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if not t:
+                    continue
+                a = padded(flat(t))
+                if len(a) < 14:
+                    continue
+                lv = _level(a)
+                ctx = _windows(a).view(np.int64)[2:-2]
+                near = _mix(lv[:-3], lv[1:-2], lv[2:-1], lv[3:]).view(np.int64)[2:-2]
+                held += [(ctx, lv[4:-4].astype(np.int64)), (near, -1 - lv[3:-4].astype(np.int64))]
+                size += 2 * len(ctx)
+                if size > 4_000_000:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+
+    return texts.mapInArrow(run, "ctx bigint, mid bigint, n bigint").groupBy("ctx", "mid").agg(F.sum("n").alias("n"))
+
+
+def confusions(clean: DataFrame, scanned: DataFrame) -> dict[str, list[str]]:
+    """Misread sign -> what it may stand for ("" = a stray mark, two signs = itself and a dropped one), of (t) each."""
+    known = cut(_surroundings(clean, lambda t: t))
+    seen = cut(_surroundings(scanned, lambda t: joined(x := t.split("\n"), printed_lines(x))[0]))
+    total = seen.filter("mid >= 0").agg(F.sum("n")).first()[0] or 0
+    own = {r.mid: r.n for r in known.filter("mid >= 0").groupBy("mid").agg(F.sum("n").alias("n")).collect()}  # a row a code point at most
+    per = known.filter("mid >= 0").groupBy("ctx").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("mid").alias("c"))).alias("top"))
+    sure = per.filter("all >= 4 and top.n >= 0.8 * all").select("ctx", F.col("top.c").alias("c"))
+    signs, near = seen.filter("mid >= 0").withColumnRenamed("mid", "x"), seen.filter("mid < 0").select("ctx", "mid", "n")
+    usual = known.filter("mid >= 0 and n >= 3").select("ctx", F.col("mid").alias("x"))
+    met = signs.join(sure, "ctx")
+    agreed = {r.c: r.n for r in met.filter("x = c").groupBy("c").agg(F.sum("n").alias("n")).collect()}  # a row a code point at most
+    wrong = met.filter("x <> c").join(usual, ["ctx", "x"], "left_anti").groupBy("x", "c").agg(F.sum("n").alias("n"))
+    beside = known.filter("mid < 0 and n >= 3").select("ctx")
+    stray = signs.join(beside, "ctx", "left_semi").join(known.filter("mid >= 0").select("ctx").distinct(), "ctx", "left_anti")
+    stray = stray.groupBy("x").agg(F.sum("n").alias("n")).select("x", F.lit(-1).cast("bigint").alias("c"), "n")
+    dropped = near.join(known.filter("mid < 0").select("ctx"), "ctx", "left_anti").join(sure, "ctx").groupBy(F.col("mid").alias("x"), "c").agg(F.sum("n").alias("n"))
+    least = max(SUPPORT, total * SUPPORT_SHARE)
+    pairs = cut(wrong.unionByName(stray).unionByName(dropped))
+    of = {r.x: r.n for r in pairs.groupBy("x").agg(F.sum("n").alias("n")).collect()}
     out: dict[str, list[str]] = defaultdict(list)
-    for (x, c), n in pairs.items():
-        if n >= support and n >= 0.25 * right[x] and _visible(x, c):
-            out[x].append(c)
+    for r in pairs.filter(F.col("n") >= least).orderBy("x", "c").collect():
+        if r.x >= 0 and r.n >= 0.25 * of[r.x]:
+            x, c = chr(r.x), "" if r.c < 0 else chr(r.c)
+            if r.n < SHARE_MISREAD * agreed.get(r.c, 0):
+                continue
+            if _visible(x, c) or not c and x.isalnum() and own.get(r.x, 0) * 20 <= r.n and lookalike.normal(x) == x:
+                out[x].append(c)
+        elif r.x < 0 and r.c >= 0 and (chr(r.c).islower() or "一" <= chr(r.c) <= "鿿") and chr(-1 - r.x).isalnum() and r.n >= 0.25 * of[r.x]:
+            out[chr(-1 - r.x)].append(chr(-1 - r.x) + chr(r.c))
     return out
 
 
@@ -338,21 +388,25 @@ def corrupt(text: str, pairs: dict[str, list[str]], rate: float, rng: np.random.
     """(signs, places, operations): the text with signs misread at random, and what undoes it."""
     wrong: dict[str, list[str]] = defaultdict(list)
     strays = [x for x, cs in pairs.items() if "" in cs]
+    dropped = {c for cs in pairs.values() for c in cs if len(c) == 2}
     for x, cs in pairs.items():
         for c in cs:
-            if c:
+            if len(c) == 1:
                 wrong[c].append(x)
     out, places, gold = [], [], []
     r = rng.random(len(text))
-    for c, p in zip(text, r):
-        if p < rate and c in wrong:
+    for k, (c, p) in enumerate(zip(text, r)):
+        if dropped and rate <= p < 2 * rate and text[k - 1 : k + 1] in dropped and out[-1:] == [text[k - 1]]:
+            places.append(len(out) + 3)
+            gold.append(operation(text[k - 1 : k + 1]))
+        elif p < rate and c in wrong:
             x = wrong[c][int(rng.integers(len(wrong[c])))]
             places.append(len(out) + 4)
-            gold.append(ord(c) + 2)
+            gold.append(operation(c))
             out += list(x)
         else:
             out.append(c)
-            if strays and p > 1 - rate / 20:
+            if strays and p > 1 - rate / 6:
                 places.append(len(out) + 4)
                 gold.append(DELETE)
                 out.append(strays[int(rng.integers(len(strays)))])
@@ -439,51 +493,54 @@ class Model:
             return False
         return y[0].islower()
 
-    def repair(self, text: str) -> str:
+    def repair(self, texts: list[str]) -> list[str]:
         """Continuous paragraphs: page print gone, divided words and broken sentences joined, misread signs put right."""
-        lines = text.split("\n")
-        faults = defaultdict(set)
-        for k, f in self.faults([text])[0]:
-            faults[k].add(f)
-        out, open_, cut_ = [], False, False
-        for k, x in enumerate(lines):
-            if "running" in faults[k]:
-                continue
-            s = x.strip()
-            if open_ and out:
-                gap = " " if out[-1][-1:].isascii() and s[:1].isascii() and out[-1][-1:] not in "-" and s[:1].isalnum() and not out[-1][-1:].isdigit() else ""
-                out[-1] += ("" if cut_ else gap) + s
-            else:
-                out.append(s)
-            cut_ = "hyphen" in faults[k]
-            if cut_:
-                out[-1] = out[-1][:-1]
-            open_ = bool(faults[k] & {"hyphen", "break"})
+        parts, sizes = [], []
+        for text, found in zip(texts, self.faults(texts)):
+            faults = defaultdict(set)
+            for k, f in found:
+                faults[k].add(f)
+            out, open_, cut_ = [], False, False
+            for k, x in enumerate(text.split("\n")):
+                if "running" in faults[k]:
+                    continue
+                s = x.strip()
+                if open_ and out:
+                    gap = " " if out[-1][-1:].isascii() and s[:1].isascii() and out[-1][-1:] not in "-" and s[:1].isalnum() and not out[-1][-1:].isdigit() else ""
+                    out[-1] += ("" if cut_ else gap) + s
+                else:
+                    out.append(s)
+                cut_ = "hyphen" in faults[k]
+                if cut_:
+                    out[-1] = out[-1][:-1]
+                open_ = bool(faults[k] & {"hyphen", "break"})
+            parts += out
+            sizes.append(len(out))
         fixed = []
-        for p, edits in zip(out, self.corrections(out)):
+        for p, edits in zip(parts, self.corrections(parts)):
             for at, width, c in reversed(edits):
                 p = p[:at] + c + p[at + width :]
             fixed.append(p)
-        return "\n".join(fixed)
+        ends = np.cumsum([0, *sizes])
+        return ["\n".join(fixed[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+_WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
 def fit(df: DataFrame, id_col: str = "record_id", text_col: str = "text", source_col: str = "source", rows: int = FIT_ROWS) -> Model:
     base = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(source_col).alias("s"))
-    clean = [r.t for r in hash_sample(base.filter(F.col("s").isin(*CLEAN)).select("i", "t"), "i", rows).collect()]
-    scans = [r.t for r in hash_sample(base.filter(F.col("s").isin(*SCANNED)).select("i", "t"), "i", rows).collect()]
-    flat = [joined(x, printed_lines(x))[0] for x in (t.split("\n") for t in scans)]
-    pairs = _digit_pairs(confusions(clean, flat))
+    clean, scanned = base.filter(F.col("s").isin(*CLEAN)).select("i", "t"), base.filter(F.col("s").isin(*SCANNED)).select("t")
+    pairs = _digit_pairs(confusions(clean.select("t"), scanned))
     for x, c in MERGES:
         pairs.setdefault(x, []).append(c)
     editor = Editor(pairs)
     rng = np.random.default_rng(7)
-    editor.train([corrupt(re.sub(r"\s*\n\s*", "", t) if k % 2 else t.replace("\n", " "), pairs, 0.03, rng) for k, t in enumerate(clean)])
-    decoder = sent.Model()
-    words: Counter = Counter()
-    for t in clean:
-        decoder.learn(t[: sent.FIT_CHARS])
-        words.update(w.lower() for w in re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", t) if w.isascii() or not re.search("[一-鿿]", w))
-    return Model(editor, decoder, {w for w, n in words.items() if n >= 2})
+    labelled = [r.t for r in hash_sample(clean, "i", rows).collect()]
+    editor.train([corrupt(re.sub(r"\s*\n\s*", "", t) if k % 2 else t.replace("\n", " "), pairs, 0.03, rng) for k, t in enumerate(labelled)])
+    words = counted(clean.select("t"), 1, lambda t: [(w.lower(),) for w in _WORDS.findall(t) if not _HAN_SIGN.search(w)])
+    words = cut(words.filter("n >= 2").orderBy(F.desc("n"), "k0").limit(MAX_WORDS))
+    return Model(editor, sent.fit(clean, "t"), {r.k0 for r in words.toLocalIterator()})
 
 
 def scan_faults(df: DataFrame, id_col: str = "record_id", text_col: str = "text", source_col: str = "source", model: Model | None = None) -> DataFrame:
@@ -509,6 +566,8 @@ def repair(df: DataFrame, id_col: str = "record_id", text_col: str = "text", sou
 
     @F.pandas_udf("string")
     def whole(s):
-        return s.map(lambda t: shared.value.repair(t) if t else t)
+        some = [t for t in s if t]
+        done = iter(shared.value.repair(some))
+        return s.map(lambda t: next(done) if t else t)
 
     return df.withColumn(text_col, F.when(F.col(source_col).isin(*SCANNED), whole(F.col(text_col))).otherwise(F.col(text_col)))

@@ -6,8 +6,9 @@ its length, the line ends it runs across, and its quotations and brackets: a spa
 
 What opens and closes sentences is learned from the corpus itself: openings after marks that are certain (full stops and
 question marks of scripts that use them for nothing else, ends of paragraphs), words before a dot that goes on in lower
-case or in a number (abbreviations), and words in mid-sentence. The fit reads at most ``FIT_DOCS`` documents, those with
-the least id hash; the segmentation reads every document whole, in one narrow pass without a shuffle.
+case or in a number (abbreviations), and words in mid-sentence. These are counted over all documents, whole, in one pass:
+each task adds up its own before the shuffle, and only what is supported (``SUPPORT`` times, and once in ``SHARE``
+openings, which bounds the model whatever the number of documents) comes back. The segmentation is one more narrow pass.
 
 Defined cases: null text gives no rows, nor does an empty or blank one; text without any mark is one sentence per
 heading line; an unbalanced quotation mark is ignored beyond the paragraph; repeated rows give equal rows; line ends may
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import hash_sample
+from corpusloom.session import cut
 
-#: Documents read for the fit.
-FIT_DOCS = 3000
-#: Characters of each of them that the fit looks at.
-FIT_CHARS = 6000
+#: Occurrences from which on a counted word is kept, and the share of all openings it must have: one in so many.
+SUPPORT, SHARE = 2, 1_000_000
+#: Openings at which what was never seen weighs half as much as it does in the end.
+HALF = 100
+#: Words that a task counts before it hands them on.
+COUNTED = 200_000
 
 OPEN = "“‘«「『（(【《〈[„‹〔"
 CLOSE = "”’»」』）)】》〉]“›〕"
@@ -53,6 +56,8 @@ _WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
 _LAST = re.compile(r"[^\s　“”‘’«»（）()「」『』\"，、；：,;:。！？!?…।]+$")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _THAI = re.compile("[฀-๿]")
+#: What stands behind a comma or a gap, as ``open_key`` names it.
+_INNER = re.compile(r"(?:[,，、；：;:] ?| (?=\S))[“‘«「『（(【《〈\[„‹〔\"]*(?:(\d)|([぀-ヿ㐀-鿿豈-﫿].?)|([฀-๿].{0,5})|([^\W\d_]+(?:[-’'][^\W\d_]+)*)|(\S))")
 _MARK_END = re.compile(r"(?:[。！？!?।॥؟۔｡…]|\.)[”’»」』）)】》〉\]\"›“ ]*$")
 _PLAIN_END = re.compile(r"[。！？!?।॥؟۔｡]\s*$")
 _NUMBERING = re.compile(r"\s*(?:\[\d+\]|[（(]?[0-9一二三四五六七八九十]{1,3}[）)、．.]|\d+(?:\.\d+)+|第[0-9一二三四五六七八九十百]+[条章节款项])[\t  　]*")
@@ -135,7 +140,9 @@ def enclosed(t: str) -> list[tuple[int, int]]:
 
 
 class Model:
-    """Counts of openings and closings; picklable and small (bounded by FIT_DOCS)."""
+    """Counts of openings and closings; picklable and small (bounded by ``SHARE``)."""
+
+    KINDS = ("opens", "inner", "abbr", "dotted", "closes")
 
     def __init__(self):
         self.opens: Counter = Counter()
@@ -145,6 +152,18 @@ class Model:
         self.closes: Counter = Counter()
         self.starts = 1
 
+    @property
+    def known(self) -> float:
+        """How much it means that something was never seen: from 0 for a model that saw nothing to 1."""
+        return self.starts / (self.starts + HALF)
+
+    def size(self) -> int:
+        return sum(len(getattr(self, k)) for k in self.KINDS)
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        out = [(k, w, n) for k in self.KINDS for w, n in getattr(self, k).items()]
+        return [*out, ("starts", "", self.starts - 1)]
+
     def learn(self, text: str) -> None:
         for t in _PARA.split(text):
             inside = enclosed(t)
@@ -175,8 +194,7 @@ class Model:
             if first:
                 self.opens[first] += 1
                 self.starts += 1
-            for m in re.finditer(r"[,，、；：;:] ?| (?=\S)", t):
-                self.inner[open_key(t, m.end(), min(len(t), m.end() + 24))] += 1
+            self.inner.update(["0" if m.lastindex == 1 else m[m.lastindex] for m in _INNER.finditer(t)])
             self.closes[close_key(t, 0, len(t.rstrip(BLANK)))] += 1
 
     def opening(self, key: str) -> float:
@@ -282,8 +300,8 @@ def _paragraph(t: str, base: int, model: Model, shape: tuple[bool, int], out: li
             else:
                 key = open_key(t, nxt, n)
                 score = model.opening(key) + 1.0 + (1.0 if newline and not wrapped else 0.0)
-                if _CJK.match(c) and model.opens[key] == 0 and not newline and model.starts > 300:
-                    score -= 3.0
+                if _CJK.match(c) and model.opens[key] == 0 and not newline:
+                    score -= 3.0 * model.known
         elif kind == DOT:
             if "ऀ" <= t[a - 1 : a] <= "ॿ":
                 continue
@@ -306,7 +324,7 @@ def _paragraph(t: str, base: int, model: Model, shape: tuple[bool, int], out: li
             if lower or t[a - 1] in "，、；：,;:-—–":
                 continue
             key = open_key(t, nxt, n)
-            score = model.opening(key) + 0.5 - (2.5 if not model.opens[key] and model.starts > 300 and key != "#" else 0.0)
+            score = model.opening(key) + 0.5 - (2.5 * model.known if not model.opens[key] and key != "#" else 0.0)
             if wrapped:
                 own = a - (t.rfind("\n", 0, a) + 1)
                 first = 1 if _CJK.match(c) else _token(t, nxt)
@@ -325,6 +343,7 @@ def _paragraph(t: str, base: int, model: Model, shape: tuple[bool, int], out: li
     # best[i]: score of the best division that has a boundary at candidate i - 1
     best = [0.0] * (len(ends) + 1)
     back = [0] * (len(ends) + 1)
+    high = [0.0] * (len(ends) + 1)  # the best score up to a candidate
     for j in range(1, len(ends) + 1):
         top, arg, end, line = -1e18, j - 1, ends[j - 1], kinds[j - 1] == LINE
         for i in range(j - 1, -1, -1):
@@ -335,10 +354,13 @@ def _paragraph(t: str, base: int, model: Model, shape: tuple[bool, int], out: li
                 v -= 7.0  # a heading fills its line from the start
             if v > top:
                 top, arg = v, i
+            if i and high[i - 1] - (0.002 * (length - 400) if length > 400 else 0.0) <= top:
+                break  # a start further back can at most reach the best score there, less what the length costs
             if i and gains[i - 1] >= 8.0:
                 break  # nothing is gained by running across a certain boundary
         best[j] = top + gains[j - 1]
         back[j] = arg
+        high[j] = max(high[j - 1], best[j])
     spans, j = [], len(ends)
     while j > 0:
         i = back[j]
@@ -369,19 +391,38 @@ _SHORT_NUMBER = re.compile(r"(?:^|[^\d.,A-Za-z])\d{1,2}$")
 _LINE_START_NUMBER = re.compile(r"(?:^|[\r\n])[\t  　]*\d{1,3}(?:\.\d{1,3})*[.．]$")
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_DOCS) -> Model:
+def fit(df: DataFrame, text_col: str = "text") -> Model:
+    """Counts over all texts of ``df``, whole."""
+
+    def count(batches):
+        m = Model()
+
+        def out():
+            rows = m.rows()
+            return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.string()) for c in (0, 1)), pa.array([r[2] for r in rows], pa.int64())], names=["kind", "key", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if t:
+                    m.learn(t)
+                if m.size() > COUNTED:
+                    yield out()
+                    m = Model()
+        yield out()
+
+    rows = df.select(text_col).mapInArrow(count, "kind string, key string, n bigint")
+    counted = cut(rows.groupBy("kind", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT))
     model = Model()
-    rows = df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.substring(text_col, 1, FIT_CHARS).alias("t"))
-    thai = rows.filter(F.col("t").rlike("[\\u0e00-\\u0e7f]{8}"))
-    for part, most in ((rows, limit), (thai, limit // 10)):
-        for r in hash_sample(part, "i", most).toLocalIterator():
-            model.learn(r.t)
+    starts = counted.filter("kind = 'starts'").agg(F.sum("n")).first()[0]
+    model.starts += starts or 0
+    for r in counted.filter((F.col("kind") != "starts") & (F.col("n") >= model.starts / SHARE)).toLocalIterator():
+        getattr(model, r["kind"])[r["key"]] = r["n"]
     return model
 
 
 def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """(doc_id, start_pos, end_pos): one row per sentence, end exclusive, positions in code points."""
-    model = model or fit(df, id_col, text_col)
+    model = model or fit(df, text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import gbt, leakage, lookalike, main_content, mojibake, near_dup, packing, personal, scan_repair, sentences, site_lines
 from corpusloom.llm.arrays import PIECE, gram_hashes, reduced, window_min
@@ -135,12 +136,33 @@ def test_editor_undoes_its_noise():
     assert right > 20 * (wrong + missed + 1) / 10
 
 
+def test_editor_inserts():
+    """A sign dropped behind another is put back by an operation of its own."""
+    clean = [prose(6, k).replace("报送", "报送仪器") for k in range(120)]
+    pairs = {"仪": ["仪器"]}
+    ed = scan_repair.Editor(pairs)
+    g = np.random.default_rng(1)
+    ed.train([scan_repair.corrupt(t, pairs, 0.2, g) for t in clean])
+    a = scan_repair.padded("应当于2776年7月前报送仪编号1679215的记录。")
+    assert [(w, c) for _, w, c in ed.edits(a)] == [(1, "仪器")]
+
+
+def test_confusions(table):
+    """Misread signs, strays and dropped signs are counted over all records."""
+    clean = table([(i, prose(4, i)) for i in range(300)]).select(F.col("text").alias("t"))
+    noisy = [prose(4, 900 + i) for i in range(200)]
+    noisy = [t.replace("记录", "汜录") if i % 4 == 0 else t.replace("记录", "记丶录") if i % 4 == 1 else t for i, t in enumerate(noisy)]
+    pairs = scan_repair.confusions(clean, table(list(enumerate(noisy))).select(F.col("text").alias("t")))
+    assert pairs.get("汜") == ["记"] and pairs.get("丶") == [""]
+    assert scan_repair.confusions(clean.limit(0), clean.limit(0)) == {}
+
+
 def test_repair():
     m = scan_repair.Model(scan_repair.Editor({}), sentences.Model(), {"approved"})
     text = "The board has appr-\noved the plan of the\n— 4 —\nharbour today."
     faults = set(m.faults([text])[0])
     assert {(0, "hyphen"), (1, "break"), (2, "running")} <= faults and not any(k == 3 for k, _ in faults)
-    assert m.repair(text) == "The board has approved the plan of the harbour today."
+    assert m.repair([text, "", "一行"]) == ["The board has approved the plan of the harbour today.", "", "一行"]
     assert m.faults(["", "一行"]) == [[], []]
 
 
@@ -289,6 +311,18 @@ def test_bootstrapped_names(table):
     assert personal.find_personal(df.limit(0)).count() == 0
 
 
+def test_discovered_numbers(table):
+    """Numbers of a form that no seed has are found where they stand beside names as seeds do."""
+    r = random.Random(4)
+    people = [f"{r.choice(('Orla', 'Colm', 'Neva', 'Ilko', 'Tamsin', 'Maeva'))} {r.choice('ABC')}. {r.choice(('Dunmarsh', 'Venshaw', 'Quenby', 'Tolbrook', 'Osterwick'))}" for _ in range(120)]
+    kinds = ("The form was signed by {p} (ID 900-{a}-{b}) today.", "Please contact {p} at box{a}@mail.test for files.", "The inventor, {p}, lives at {a} Alder Road, Port Hessle.")
+    rows = [(i, kinds[i % 3].format(p=p, a=10 + i % 80, b=1000 + i)) for i, p in enumerate(people)]
+    rows += [(500 + i, f"Open items are listed in file 900-{10 + i}-{2000 + i} of the office.") for i in range(30)]
+    got = {(x.record_id, x.kind, x.value) for x in personal.find_personal(table(rows)).collect()}
+    assert sum(k == "id_number" for _, k, _ in got) == 40 and not any(i >= 500 for i, k, _ in got if k == "id_number")
+    assert sum((i, "name", p) in got for i, p in enumerate(people)) >= 75
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -339,6 +373,9 @@ def test_leaks(spark):
 
     truth = {(k, q) for k, t in docs for q, it in enumerate(items) for x in [plain(t)] for y in [plain(it)] if any(y[s : s + 60] in x for s in range(len(y) - 59))}
     assert {(r.doc_id, r.item_id) for r in leakage.find_leaks(d, i).collect()} == truth
+    # too many items for one index: the same rows by a shuffle of fingerprints
+    few, many = (sorted(map(tuple, leakage.find_leaks(d, i, index_chars=n).collect())) for n in (10**6, 0))
+    assert few == many
     assert leakage.find_leaks(d.limit(0), i).count() == 0 and leakage.find_leaks(d, i.limit(0)).count() == 0
 
 
