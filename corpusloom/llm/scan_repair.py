@@ -289,36 +289,44 @@ def _surroundings(texts: DataFrame, flat) -> DataFrame:
     """(ctx, mid, n) over all texts: how often a sign (digits levelled) stands between the two signs on either side, and,
     with -1 less the sign before the gap as mid, how often two and two signs are neighbours."""
 
-    def run(batches):
-        held, size = [], 0
-
-        def out():
-            ctx, mid = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((mid, ctx))
-            ctx, mid = ctx[order], mid[order]
-            first = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (mid[1:] != mid[:-1])]))
-            n = np.diff(np.append(first, len(ctx)))
-            for k in range(0, len(first), 1 << 17):
-                at = first[k : k + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(ctx[at]), pa.array(mid[at]), pa.array(n[k : k + (1 << 17)])], names=["ctx", "mid", "n"])
+    def counts(held):
+        ctx, mid = (np.concatenate(x) for x in zip(*held))
+        # one mixed key sorts many times faster than two; equal keys of different pairs are as good as impossible
+        key = _mix(ctx.view(np.uint64), mid.view(np.uint64)).view(np.int64)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(first, len(key)))
+        for k in range(0, len(first), 1 << 17):
+            at = order[first[k : k + (1 << 17)]]
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[at]), pa.array(mid[at]), pa.array(n[k : k + (1 << 17)])], names=["ctx", "mid", "n"])
+
+    def seen(parts):
+        lens = np.array([len(t) for t in parts])
+        a = np.concatenate([padded(t) for t in parts])
+        real = np.repeat(np.tile([False, True, False], len(parts)), np.stack([np.full_like(lens, 4), lens, np.full_like(lens, 4)], 1).ravel())
+        lv = _level(a)
+        at, gap = real[2:-2], real[1:-2] | real[2:-1]
+        near = _mix(lv[:-3], lv[1:-2], lv[2:-1], lv[3:]).view(np.int64)
+        return [(_windows(a).view(np.int64)[at], lv[2:-2][at].astype(np.int64)), (near[gap], -1 - lv[1:-2][gap].astype(np.int64))]
 
+    def run(batches):
+        held, size, parts, signs = [], 0, [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                a = padded(flat(t))
-                if len(a) < 14:
-                    continue
-                lv = _level(a)
-                ctx = _windows(a).view(np.int64)[2:-2]
-                near = _mix(lv[:-3], lv[1:-2], lv[2:-1], lv[3:]).view(np.int64)[2:-2]
-                held += [(ctx, lv[4:-4].astype(np.int64)), (near, -1 - lv[3:-4].astype(np.int64))]
-                size += 2 * len(ctx)
+                if t and len(x := flat(t)) >= 6:
+                    parts.append(x)
+                    signs += len(x)
+                if signs > PIECE:
+                    held += seen(parts)
+                    size, parts, signs = size + 2 * signs, [], 0
                 if size > 4_000_000:
-                    yield from out()
+                    yield from counts(held)
                     held, size = [], 0
+        if parts:
+            held += seen(parts)
         if held:
-            yield from out()
+            yield from counts(held)
 
     return texts.mapInArrow(run, "ctx bigint, mid bigint, n bigint").groupBy("ctx", "mid").agg(F.sum("n").alias("n"))
 
