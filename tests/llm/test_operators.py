@@ -323,6 +323,14 @@ def test_discovered_numbers(table):
     assert sum((i, "name", p) in got for i, p in enumerate(people)) >= 75
 
 
+def test_all_number_contexts_kept(table):
+    """Every context that names prove is kept with its shapes, however many there are."""
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(3)) + "code" for n in range(personal.MAX_PATTERNS + 100)]
+    text = lambda i: "\n".join(f"Orla Venshaw, {w} {10 + i}-{20000 + n}, as signed." for n, w in enumerate(words))
+    m = personal._contexts(personal.Model({}, set(), set(), {"Orla"}, set(), set(), set()), table([(i, text(i)) for i in range(6)]).select("text"))
+    assert {k[0].strip() for k in m.numbers} == set(words) and all(v == {"00-00000"} for v in m.numbers.values())
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
