@@ -8,11 +8,11 @@ Pigeonring filtering. The space of shingle hashes is divided into boxes, laid ou
 in one box. By the pigeonring principle a pair within the distance has some chain of consecutive boxes each of whose
 prefixes keeps within the share of the distance that falls to it. This is asked twice before the full Hamming check:
 
-* Meeting. Each of ``RING`` boxes is known by its least hash. Texts meet in chains of two boxes without a difference there;
-  where more than ``CROWD[0]`` texts share such a chain it is lengthened by the next box, and so on up to six, and whatever
-  number of texts agree in six boxes are compared whole, in blocks. So a hot passage meets itself only where all else
-  agrees too, and no text is left out of the last step.
-* Pruning. In sketches of two and then of eight boxes (bits set by a fixed share of the shingles) the cumulative differences
+* Meeting. Each of ``RING`` boxes is known by its least hash. Texts meet in chains of two boxes without a difference there,
+  and every two of them are compared, however many share the chain: a hot chain is divided into blocks and every two blocks
+  meet in a task of their own. So whether a pair is found depends on its two texts alone; the comparisons of a passage that a
+  fixed share of the records holds grow with the square of their number.
+* Pruning. In sketches of two and then of sixteen boxes (bits set by a fixed share of the shingles) the cumulative differences
   of some chain around the whole ring have to keep within the proportional budget, each prefix with the sampling noise of
   its own length.
 
@@ -26,6 +26,7 @@ repeated rows give each pair once; ids decide a < b; other columns are not looke
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,17 +40,18 @@ from corpusloom.session import bounded, cut, hash_sample, maybe_broadcast
 SHINGLE = 5
 #: Boxes of the ring on which texts meet.
 RING = 32
-#: Texts that may agree in 2, 3, 4 and 5 consecutive boxes and still be compared; those that agree in six always are.
-CROWD = (32, 64, 256, 1024)
-#: Sketches of 64-bit words: the small one travels with every box, the large one has a word for each box of its own ring;
-#: one shingle of so many sets a bit. Deviations of the sampling noise that a pair may stay below the threshold.
-SMALL, SMALL_RATE, LARGE, LARGE_RATE, SURE = 2, 12, 8, 4, 2.0
-#: A chain is hot, and its texts are spread by its next box, when it holds more than this many rows and one in 50,000.
+#: Sketches of 64-bit words, a word for each box of a ring of their own, which travel with every box of a text; one shingle
+#: of so many sets a bit. Deviations of the sampling noise that a pair may stay below the threshold.
+SMALL, SMALL_RATE, LARGE, LARGE_RATE, SURE = 2, 12, 16, 2, 2.0
+#: A chain is hot, and its texts are divided into blocks, when it holds more than this many rows and one in 50,000.
 HOT, HOT_SHARE = 4_096, 50_000
 #: One entity of so many is counted to find hot chains.
 HOT_SAMPLE = 16
-#: Pairs looked at together.
-TILE = 400_000
+#: The boxes are shuffled in so many goes, and the pairs checked so many times the number of texts in one go, so that what
+#: lies on disk at once stays in proportion to the input.
+SLICES, PAIRS = 4, 2
+#: Pairs looked at together; a tile's intermediate values stay in the processor's cache.
+TILE = 100_000
 #: Texts that lend their first signs to the compressor of the verification.
 DICT_ROWS = 400
 
@@ -166,142 +168,138 @@ def _profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, ent bigint, profile binary")
 
 
-def _boxes(heads: DataFrame) -> DataFrame:
-    """(ent, key, more, s0, s1): a row each box of each entity of (ent, profile)."""
+def _boxes(heads: DataFrame, go: int) -> DataFrame:
+    """(ent, key, sketch): a row each box of one go of each entity of (ent, profile), with both sketches."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            w = _words(b.column(1), RING + SMALL + LARGE)
-            ent = b.column(0).to_numpy(zero_copy_only=False)
-            key, more = chains(np.ascontiguousarray(w[:, :RING]))
-            flat = [np.repeat(ent, RING), key.ravel().view(np.int64), more.ravel().view(np.int64)]
-            flat += [np.repeat(np.ascontiguousarray(w[:, RING + k]), RING).view(np.int64) for k in range(SMALL)]
-            for s in range(0, len(flat[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[s : s + (1 << 17)]) for x in flat], names=["ent", "key", "more", "s0", "s1"])
+            key, _ = chains(np.ascontiguousarray(_words(b.column(1), RING + SMALL + LARGE)[:, :RING]))
+            key = key[:, go::SLICES]
+            ends = pa.array(np.arange(len(key) + 1, dtype=np.int32) * key.shape[1])
+            keys = pa.ListArray.from_arrays(ends, pa.array(key.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, b.column(2)], names=["ent", "keys", "sketch"])
 
-    return heads.select("ent", "profile").mapInArrow(run, "ent bigint, key bigint, more bigint, s0 bigint, s1 bigint")
+    rows = heads.select("ent", "profile", F.substring("profile", 8 * RING + 1, 8 * (SMALL + LARGE)).alias("sketch"))
+    return rows.mapInArrow(run, "ent bigint, keys array<bigint>, sketch binary").select("ent", F.explode("keys").alias("key"), "sketch")
 
 
 def _spread_hot(rows: DataFrame, sample: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``part`` (which rows have to be together), ``own`` (block of a row) and ``pair`` (which two blocks meet;
-    not positive where a block meets itself).
+    """``rows`` with ``own`` (block of a row) and ``pair`` (which two blocks meet; not positive where a block meets itself).
 
-    A chain counted hot in a sample goes by its next box as well, as its texts are not compared before that anyway; a chain
-    of all six boxes that is still hot is divided into blocks, and every two of them meet in a task of their own."""
+    A chain counted hot in a sample is divided into blocks, and every two of them meet in a task of their own."""
     least = max(HOT, total // HOT_SHARE) // HOT_SAMPLE
-    rows, sample = rows.withColumn("part", F.col("key")), cut(sample.select("more", F.col("key").alias("part")))
-    rows = rows.withColumns({"own": F.lit(0), "pair": F.lit(0)})
-    for level in range(5):
-        # at most HOT_SHARE chains can hold one row in HOT_SHARE, so this side is always small enough to broadcast
-        hot = cut(sample.groupBy("part").count().filter(F.col("count") > least))
-        if not hot.count():
-            break
-        rows = rows.join(F.broadcast(hot), "part", "left")
-        if level < 4:
-            deeper = F.xxhash64("part", F.shiftrightunsigned("more", 48 - 16 * level))
-            rows = rows.withColumn("part", F.when(F.col("count").isNull(), F.col("part")).otherwise(deeper)).drop("count")
-            sample = cut(sample.join(F.broadcast(hot), "part").select("more", deeper.alias("part")))
-        else:
-            n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("count"), F.lit(0)) / least)).cast("int")
-            rows = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("ent", F.lit(9)), F.col("n")).cast("int"))
-            rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-            rows = rows.withColumn("pair", F.when(F.col("own") == F.col("o"), -F.col("own")).otherwise(F.least("own", "o") * F.col("n") + F.greatest("own", "o")))
-    return rows
-
-
-def _groups(starts: np.ndarray, ends: np.ndarray, most: int | None):
-    """(first, second) places of all pairs within the groups of 2 to ``most`` rows, in tiles, groups of one size together;
-    without a bound, large groups one after another."""
-    size = ends - starts
-    for d in np.unique(size):
-        if d < 2 or (most is not None and d > most):
-            continue
-        s = starts[size == d]
-        if d <= 512:
-            a, b = np.triu_indices(d, 1)
-            for k in range(0, len(s), step := max(1, TILE // len(a))):
-                yield (s[k : k + step, None] + a).ravel(), (s[k : k + step, None] + b).ravel()
-            continue
-        for x in s:
-            for i in range(0, d - 1, step := max(1, TILE // int(d))):
-                p, q = np.meshgrid(np.arange(i, min(i + step, d - 1)), np.arange(i + 1, d), indexing="ij")
-                k = q > p
-                yield x + p[k], x + q[k]
-
-
-def _runs(start: int, end: int, *keys: np.ndarray) -> np.ndarray:
-    """Bounds of the runs of equal keys between two places."""
-    new = np.zeros(end - start, bool)
+    # at most HOT_SHARE chains can hold one row in HOT_SHARE, so this side is always small enough to broadcast
+    hot = cut(sample.groupBy("key").count().filter(F.col("count") > least))
+    n = F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("count"), F.lit(0)) / least)).cast("int")
+    rows = rows.join(F.broadcast(hot), "key", "left").withColumn("n", n)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("ent", F.lit(9)), F.col("n")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return rows.withColumn("pair", F.when(F.col("own") == F.col("o"), -F.col("own")).otherwise(F.least("own", "o") * F.col("n") + F.greatest("own", "o")))
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
     for k in keys:
-        new[1:] |= k[start + 1 : end] != k[start : end - 1]
-    return np.concatenate([[start], start + np.flatnonzero(new), [end]])
-
-
-def _compared(part, pair, key, more, upto: int, crowd: tuple[int, ...]):
-    """Tiles of pairs among the first ``upto`` rows, which are sorted by (part, pair, key, more)."""
-    bounds = _runs(0, upto, part, pair, key)
-    starts, ends = bounds[:-1], bounds[1:]
-    for level, most in enumerate((*crowd, None)):
-        yield from _groups(starts, ends, most)
-        if most is None:
-            return
-        large = ends - starts > most
-        if not large.any():
-            return
-        shift = np.uint64(48 - 16 * level)
-        sub = [_runs(s, e, more >> shift) for s, e in zip(starts[large], ends[large])]
-        starts, ends = np.concatenate([x[:-1] for x in sub]), np.concatenate([x[1:] for x in sub])
+        new[1:] |= k[1:] != k[:-1]
+    return np.concatenate([[0], np.flatnonzero(new), [len(new)]])
 
 
-def _candidates(heads: DataFrame, threshold: float, crowd: tuple[int, ...]) -> DataFrame:
-    """Distinct pairs (a, b) of (ent, profile) that meet in some chain and pass the small sketch."""
+def _blocks(starts: np.ndarray, ends: np.ndarray, pair: np.ndarray, own: np.ndarray):
+    """(firsts, seconds, same) in tiles: places of rows, a line each group, of which every first has to meet every second, or
+    every one behind it if both are the same rows from there on; groups of one size together."""
+    size, crossed = ends - starts, pair[starts] > 0
+    for d in np.unique(size[~crossed]):
+        if d < 2:
+            continue
+        places = starts[(size == d) & ~crossed, None] + np.arange(d)
+        rows = max(1, TILE // int(d))
+        for k in range(0, len(places), step := max(1, TILE // int(d * d))):
+            g = places[k : k + step]
+            for i in range(0, d - 1, rows):
+                yield g[:, i : i + rows], g[:, i:], True
+    for s, e in zip(starts[crossed], ends[crossed]):  # rows of either block, one block after the other
+        m = s + int(np.searchsorted(own[s:e], own[s], "right"))
+        for i in range(s, m, rows := max(1, TILE // max(1, e - m))):
+            if m < e:
+                yield np.arange(i, min(i + rows, m))[None], np.arange(m, e)[None], False
+
+
+def _bound(words: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(least, chance, count) of sketches: two of them may belong to a pair if their common bits are at least the smaller
+    ``least`` and the one's ``chance`` times the other's ``count``; the bound of :func:`likely` for the whole ring."""
+    count = np.bitwise_count(words).sum(1).astype(np.float32)
+    # slack for the rounding of the short form
+    least = threshold * count - SURE * np.sqrt(threshold * (1 - threshold) * count) - np.float32(0.01)
+    return least, (1 - threshold) / (words.shape[1] * 64) * count, count
+
+
+def _compared(key: np.ndarray, pair: np.ndarray, own: np.ndarray, words: np.ndarray, threshold: float):
+    """Tiles of pairs among rows sorted by (key, pair, own): every two of one chain whose sketches, small and large, allow
+    ``threshold`` as a whole; all rows are held against all in the small one."""
+    if not len(key):
+        return
+    bounds = _runs(key, pair)
+    small, large = [np.ascontiguousarray(x) for x in words.T[:SMALL]], [np.ascontiguousarray(x) for x in words.T[SMALL:]]
+    least, chance, count = _bound(words[:, :SMALL], threshold)
+    least2, chance2, count2 = _bound(words[:, SMALL:], threshold)
+    for p, q, same in _blocks(bounds[:-1], bounds[1:], pair, own):
+        shared = np.bitwise_count(small[0][p][:, :, None] & small[0][q][:, None, :])
+        for w in small[1:]:
+            shared += np.bitwise_count(w[p][:, :, None] & w[q][:, None, :])
+        need = np.minimum(least[p][:, :, None], least[q][:, None, :])
+        need += chance[p][:, :, None] * count[q][:, None, :]
+        ok = shared >= need
+        if same:
+            ok &= np.arange(q.shape[1]) > np.arange(p.shape[1])[:, None]
+        g, i, j = np.nonzero(ok)
+        p, q = p[g, i], q[g, j]
+        shared = np.zeros(len(p), np.float32)
+        for w in large:
+            shared += np.bitwise_count(w[p] & w[q])
+        ok = shared >= np.minimum(least2[p], least2[q]) + chance2[p] * count2[q]
+        if ok.any():
+            yield p[ok], q[ok]
+
+
+def _candidates(heads: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of (ent, profile) that meet in some chain and pass both sketches."""
 
     def run(batches):
         held: list[np.ndarray] = []
 
         def met(upto: int):
-            ent, part, pair, own, key, more, s0, s1 = held
-            words = np.stack([s0, s1], 1).view(np.uint64)
-            for p, q in _compared(part, pair, key, more.view(np.uint64), upto, crowd):
-                k = (pair[p] <= 0) | (own[p] != own[q])
-                p, q = p[k], q[k]
-                k = likely(words[p], words[q], threshold)
-                a, b = ent[p[k]], ent[q[k]]
-                if len(a):
-                    ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            ent, pair, own, key, words = (x[:upto] for x in held)
+            for p, q in _compared(key, pair, own, words, threshold):
+                turned = ent[p] > ent[q]  # in one order, so that the outcome hangs on the two texts alone
+                p, q = np.where(turned, q, p), np.where(turned, p, q)
+                k = likely(words[p, :SMALL], words[q, :SMALL], threshold)
+                k[k] = likely(words[p[k], SMALL:], words[q[k], SMALL:], threshold)
+                if k.any():
+                    ab = np.unique(np.stack([ent[p[k]], ent[q[k]]], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
         for t in batches:
-            cols = [t.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            cols = [*(t.column(c).to_numpy(zero_copy_only=False) for c in range(4)), _words(t.column(4), SMALL + LARGE)]
             held = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-            if len(held[0]) < 1 << 17:
+            if len(held[0]) < 1 << 16:
                 continue
-            last = _runs(0, len(held[0]), *held[1:3], held[4])[-2]  # the last group may go on
+            last = _runs(held[3], held[1])[-2]  # the last group may go on
             if last:
                 yield from met(int(last))
                 held = [x[last:] for x in held]
         if held:
             yield from met(len(held[0]))
 
-    some = heads.filter(F.pmod(F.xxhash64("ent", F.lit(7)), F.lit(HOT_SAMPLE)) == 0)
-    rows = _spread_hot(_boxes(heads), _boxes(some), heads.count() * RING).select("ent", "part", "pair", "own", "key", "more", "s0", "s1")
-    rows = rows.repartition("part", "pair").sortWithinPartitions("part", "pair", "key", "more")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _pruned(pairs: DataFrame, heads: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that the large sketches of (ent, profile) allow."""
-
-    def run(batches):
-        for t in batches:
-            if t.num_rows:
-                ok = pa.array(likely(_words(t.column(2), LARGE), _words(t.column(3), LARGE), threshold))
-                yield pa.RecordBatch.from_arrays([t.column(0).filter(ok), t.column(1).filter(ok)], names=["a", "b"])
-
-    side = lambda e: heads.select(F.col("ent").alias(e), F.substring("profile", 8 * (RING + SMALL) + 1, 8 * LARGE).alias("s" + e))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    some, total = heads.filter(F.pmod(F.xxhash64("ent", F.lit(7)), F.lit(HOT_SAMPLE)) == 0), heads.count() * RING
+    found = []
+    for go in range(SLICES):
+        rows = _spread_hot(_boxes(heads, go), _boxes(some, go), total).select("ent", "pair", "own", "key", "sketch")
+        rows = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "own")
+        found.append(cut(rows.mapInArrow(run, "a bigint, b bigint").distinct()))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -373,17 +371,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: bytes
     return ab.mapInArrow(run, "a bigint, b bigint, share double")
 
 
-def linked_entities(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7, crowd: tuple[int, ...] = CROWD) -> tuple[DataFrame, DataFrame]:
+def linked_entities(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(members (id, ent), links (a, b, share) between entities): the classes of equal texts and the pairs between them."""
     known = _profiles(df, id_col, text_col)
     # an entity goes by the least id of its records
     heads = cut(known.groupBy("ent").agg(F.min("id").alias("head"), F.max("profile").alias("profile"), F.count_distinct("id").alias("copies")))
     rings = heads.select(F.col("head").alias("ent"), "profile")
-    pairs = cut(_pruned(cut(_candidates(rings, threshold, crowd)), rings, threshold))
+    pairs = cut(_candidates(rings, threshold))
     wanted = cut(pairs.select(F.col("a").alias("ent")).union(pairs.select("b")).distinct())
     words = _dictionary(df, id_col, text_col)
     texts = cut(_texts(df, id_col, text_col, wanted, words))
-    links = cut(_verified(pairs, texts, threshold, words))
+    goes = max(1, -(-pairs.count() // (PAIRS * max(1, heads.count()))))
+    of = lambda go: pairs.filter(F.pmod(F.xxhash64("b", F.lit(3)), F.lit(goes)) == go)
+    links = reduce(DataFrame.unionByName, [cut(_verified(of(go), texts, threshold, words)) for go in range(goes)])
     several = heads.filter("copies > 1").select("ent", "head")
     copies = _entities(df, id_col, text_col).join(maybe_broadcast(cut(several), 64), "ent").select("id", F.col("head").alias("ent")).distinct()
     alone = heads.filter("copies = 1").select(F.col("head").alias("id"), F.col("head").alias("ent"))

@@ -247,6 +247,16 @@ def test_crowded_short_notices(table):
     assert len(truth) > 40_000 and got <= truth and len(got) >= 0.98 * len(truth)
 
 
+def test_size_changes_no_pair(table):
+    """A pair that is found among few texts is found among many that share its passage."""
+    r = random.Random(8)
+    signs = lambda n: "".join(chr(0x5000 + r.randrange(4000)) for _ in range(n))
+    passage = signs(300)
+    rows = [(i, passage + signs(95)) for i in range(300)]
+    few, many = (set(map(tuple, near_dup.near_pairs(table(x)).collect())) for x in (rows[:30], rows))
+    assert len(few) >= 300 and {(a, b) for a, b in many if b < 30} == few
+
+
 def test_pigeonring():
     full, few = np.tile(np.uint64(2**64 - 1), (1, 8)), np.tile(np.uint64(0xFFFF), (1, 8))
     assert near_dup.likely(full, full, 0.7)[0] and near_dup.likely(few, few & ~np.uint64(0x1F), 0.7)[0]
