@@ -199,6 +199,16 @@ def test_fit_and_find(table):
     assert mojibake.garbled_fields(df.limit(0)).count() == 0
 
 
+def test_aligned_code_page(table):
+    """A code page that no list names is told from the aligned characters of twins."""
+    bad = lambda s: mojibake.garble(s, "utf-8", "cp855", 1)
+    rows = [(i, f"编号AB-{i}关于规范CD-{i}号公告EF\n{prose(2, i)}", None) for i in range(60)]
+    rows += [(100 + i, f"编号AB-7{bad('关于规范')}CD-9{bad('号公告')}EF", None) for i in range(4)]
+    df = table(rows)
+    assert mojibake.fit(df)[0] == [("utf-8", "cp855", 1)]
+    assert {r.record_id: r.text for r in mojibake.restore(df).collect()}[101] == "编号AB-7关于规范CD-9号公告EF"
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
