@@ -1,17 +1,22 @@
 """Near-duplicate records with small edits.
 
 Two texts, blanks deleted, are near duplicates when the number of 5-character shingles in both is at least ``threshold``
-of those in at least one of them; that is, when the one-sided Hamming distance of the shingle vectors, from the smaller
-to the larger, is at most (1 - threshold) of the smaller.
+of a whole that ``measure`` names:
+
+* ``union``: those in at least one of the two (TESTDATA's case); the Hamming distance of the shingle vectors is then at most
+  (1 - threshold) of their union.
+* ``smaller``: those of the smaller text, so that a text within a longer one counts; the distance is then one-sided, from the
+  smaller to the larger.
 
 Pigeonring filtering. The space of shingle hashes is divided into boxes, laid out on a ring; a segment is what a text has
 in one box. By the pigeonring principle a pair within the distance has some chain of consecutive boxes each of whose
 prefixes keeps within the share of the distance that falls to it. This is asked twice before the full Hamming check:
 
-* Meeting. Each of ``RING`` boxes is known by its least hash. Texts meet in chains of two boxes without a difference there,
-  and every two of them are compared, however many share the chain: a hot chain is divided into blocks and every two blocks
-  meet in a task of their own. So whether a pair is found depends on its two texts alone; the comparisons of a passage that a
-  fixed share of the records holds grow with the square of their number.
+* Meeting. Each of ``RING`` boxes is known by its least hash. Texts meet in chains of two boxes (three for the union, where
+  a pair shares at least ``threshold`` of its least hashes on average) without a difference there, and every two of them are
+  compared, however many share the chain: a hot chain is divided into blocks and every two blocks meet in a task of their
+  own. So whether a pair is found depends on its two texts alone; the comparisons of a passage that a fixed share of the
+  records holds grow with the square of their number.
 * Pruning. In sketches of two and then of sixteen boxes (bits set by a fixed share of the shingles) the cumulative differences
   of some chain around the whole ring have to keep within the proportional budget, each prefix with the sampling noise of
   its own length.
@@ -43,6 +48,8 @@ RING = 32
 #: Sketches of 64-bit words, a word for each box of a ring of their own, which travel with every box of a text; one shingle
 #: of so many sets a bit. Deviations of the sampling noise that a pair may stay below the threshold.
 SMALL, SMALL_RATE, LARGE, LARGE_RATE, SURE = 2, 12, 16, 2, 2.0
+#: For each measure: boxes of a chain in which texts meet, deviations of the sampling noise.
+MEASURES = {"smaller": (2, SURE), "union": (3, 3.5)}
 #: A chain is hot, and its texts are divided into blocks, when it holds more than this many rows and one in 50,000.
 HOT, HOT_SHARE = 4_096, 50_000
 #: One entity of so many is counted to find hot chains.
@@ -92,11 +99,14 @@ def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ring, small, large
 
 
-def chains(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each box of each text: hash of the chain of two boxes, and 16 bits of each of the next four."""
+def chains(ring: np.ndarray, length: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """For each box of each text: hash of the chain of ``length`` boxes, and 16 bits of each of the four behind the second."""
     nxt = [np.roll(ring, -k, 1) for k in range(6)]
     with np.errstate(over="ignore"):
-        key = (nxt[0] * np.uint64(0x9E3779B97F4A7C15) + nxt[1]) * np.uint64(0xBF58476D1CE4E5B9) + np.arange(RING, dtype=np.uint64)
+        key = nxt[0]
+        for k in range(1, length):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + nxt[k]
+        key = key * np.uint64(0xBF58476D1CE4E5B9) + np.arange(RING, dtype=np.uint64)
         key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     low = np.uint64(0xFFFF)
     more = np.zeros_like(key)
@@ -105,16 +115,20 @@ def chains(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, more
 
 
-def likely(a: np.ndarray, b: np.ndarray, threshold: float, sure: float = SURE) -> np.ndarray:
-    """Whether pigeonring chains on each two sketches (rows of words, a word a box) allow ``threshold`` of the smaller text's
-    shingles to be common: some start whose chain keeps every prefix, up to the whole ring, within its budget."""
-    swap = np.bitwise_count(a).sum(1) > np.bitwise_count(b).sum(1)
-    s, t = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
-    w = s.shape[1]
-    own = np.bitwise_count(s).astype(np.float64)
-    # a bit that is missing from the smaller's shingles may still be set in the larger by another one
-    chance = np.bitwise_count(t).sum(1, keepdims=True) / (w * 64)
-    over = np.bitwise_count(s & ~t) - (1 - threshold) * (1 - chance) * own
+def likely(a: np.ndarray, b: np.ndarray, threshold: float, measure: str = "smaller") -> np.ndarray:
+    """Whether pigeonring chains on each two sketches (rows of words, a word a box) allow ``threshold`` of the measure's whole
+    to be common: some start whose chain keeps every prefix, up to the whole ring, within its budget."""
+    w, sure = a.shape[1], MEASURES[measure][1]
+    if measure == "union":  # shingles that share a bit only bring two sketches nearer
+        own = np.bitwise_count(a | b).astype(np.float64)
+        over = np.bitwise_count(a ^ b) - (1 - threshold) * own
+    else:
+        swap = np.bitwise_count(a).sum(1) > np.bitwise_count(b).sum(1)
+        s, t = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+        own = np.bitwise_count(s).astype(np.float64)
+        # a bit that is missing from the smaller's shingles may still be set in the larger by another one
+        chance = np.bitwise_count(t).sum(1, keepdims=True) / (w * 64)
+        over = np.bitwise_count(s & ~t) - (1 - threshold) * (1 - chance) * own
     noise = sure * np.sqrt(own.sum(1) * threshold * (1 - threshold))
     out = over.sum(1) <= noise  # the longest chain rules out most, so the others are asked of what it leaves
     over, own = over[out], own[out]
@@ -168,14 +182,14 @@ def _profiles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, ent bigint, profile binary")
 
 
-def _boxes(heads: DataFrame, go: int) -> DataFrame:
+def _boxes(heads: DataFrame, go: int, measure: str) -> DataFrame:
     """(ent, key, sketch): a row each box of one go of each entity of (ent, profile), with both sketches."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            key, _ = chains(np.ascontiguousarray(_words(b.column(1), RING + SMALL + LARGE)[:, :RING]))
+            key, _ = chains(np.ascontiguousarray(_words(b.column(1), RING + SMALL + LARGE)[:, :RING]), MEASURES[measure][0])
             key = key[:, go::SLICES]
             ends = pa.array(np.arange(len(key) + 1, dtype=np.int32) * key.shape[1])
             keys = pa.ListArray.from_arrays(ends, pa.array(key.ravel().view(np.int64)))
@@ -227,31 +241,38 @@ def _blocks(starts: np.ndarray, ends: np.ndarray, pair: np.ndarray, own: np.ndar
                 yield np.arange(i, min(i + rows, m))[None], np.arange(m, e)[None], False
 
 
-def _bound(words: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(least, chance, count) of sketches: two of them may belong to a pair if their common bits are at least the smaller
-    ``least`` and the one's ``chance`` times the other's ``count``; the bound of :func:`likely` for the whole ring."""
-    count = np.bitwise_count(words).sum(1).astype(np.float32)
+def _bound(words: np.ndarray, threshold: float, measure: str):
+    """The common bits that two of the sketches must have if they may belong to a pair, as a function of their places; the
+    bound of :func:`likely` for the whole ring."""
+    count, sure = np.bitwise_count(words).sum(1), MEASURES[measure][1]
+    if measure == "union":
+        # the whole is what both have less what is common, so the least number of common bits depends on the first alone
+        both = np.arange(2 * 64 * words.shape[1] + 1)
+        least, root = np.zeros(len(both), np.uint16), sure * np.sqrt(threshold * (1 - threshold))
+        for n in range(64 * words.shape[1] + 1):
+            least += n < threshold * np.maximum(0, both - n) - root * np.sqrt(np.maximum(0, both - n)) - 0.01
+        count = count.astype(np.uint16)
+        return lambda p, q: least[count[p] + count[q]]
+    count = count.astype(np.float32)
     # slack for the rounding of the short form
-    least = threshold * count - SURE * np.sqrt(threshold * (1 - threshold) * count) - np.float32(0.01)
-    return least, (1 - threshold) / (words.shape[1] * 64) * count, count
+    least = threshold * count - sure * np.sqrt(threshold * (1 - threshold) * count) - np.float32(0.01)
+    chance = (1 - threshold) / (words.shape[1] * 64) * count
+    return lambda p, q: np.minimum(least[p], least[q]) + chance[p] * count[q]
 
 
-def _compared(key: np.ndarray, pair: np.ndarray, own: np.ndarray, words: np.ndarray, threshold: float):
+def _compared(key: np.ndarray, pair: np.ndarray, own: np.ndarray, words: np.ndarray, threshold: float, measure: str = "smaller"):
     """Tiles of pairs among rows sorted by (key, pair, own): every two of one chain whose sketches, small and large, allow
     ``threshold`` as a whole; all rows are held against all in the small one."""
     if not len(key):
         return
     bounds = _runs(key, pair)
     small, large = [np.ascontiguousarray(x) for x in words.T[:SMALL]], [np.ascontiguousarray(x) for x in words.T[SMALL:]]
-    least, chance, count = _bound(words[:, :SMALL], threshold)
-    least2, chance2, count2 = _bound(words[:, SMALL:], threshold)
+    need, need2 = _bound(words[:, :SMALL], threshold, measure), _bound(words[:, SMALL:], threshold, measure)
     for p, q, same in _blocks(bounds[:-1], bounds[1:], pair, own):
         shared = np.bitwise_count(small[0][p][:, :, None] & small[0][q][:, None, :])
         for w in small[1:]:
             shared += np.bitwise_count(w[p][:, :, None] & w[q][:, None, :])
-        need = np.minimum(least[p][:, :, None], least[q][:, None, :])
-        need += chance[p][:, :, None] * count[q][:, None, :]
-        ok = shared >= need
+        ok = shared >= need(p[:, :, None], q[:, None, :])
         if same:
             ok &= np.arange(q.shape[1]) > np.arange(p.shape[1])[:, None]
         g, i, j = np.nonzero(ok)
@@ -259,12 +280,12 @@ def _compared(key: np.ndarray, pair: np.ndarray, own: np.ndarray, words: np.ndar
         shared = np.zeros(len(p), np.float32)
         for w in large:
             shared += np.bitwise_count(w[p] & w[q])
-        ok = shared >= np.minimum(least2[p], least2[q]) + chance2[p] * count2[q]
+        ok = shared >= need2(p, q)
         if ok.any():
             yield p[ok], q[ok]
 
 
-def _candidates(heads: DataFrame, threshold: float) -> DataFrame:
+def _candidates(heads: DataFrame, threshold: float, measure: str) -> DataFrame:
     """Distinct pairs (a, b) of (ent, profile) that meet in some chain and pass both sketches."""
 
     def run(batches):
@@ -272,11 +293,11 @@ def _candidates(heads: DataFrame, threshold: float) -> DataFrame:
 
         def met(upto: int):
             ent, pair, own, key, words = (x[:upto] for x in held)
-            for p, q in _compared(key, pair, own, words, threshold):
+            for p, q in _compared(key, pair, own, words, threshold, measure):
                 turned = ent[p] > ent[q]  # in one order, so that the outcome hangs on the two texts alone
                 p, q = np.where(turned, q, p), np.where(turned, p, q)
-                k = likely(words[p, :SMALL], words[q, :SMALL], threshold)
-                k[k] = likely(words[p[k], SMALL:], words[q[k], SMALL:], threshold)
+                k = likely(words[p, :SMALL], words[q, :SMALL], threshold, measure)
+                k[k] = likely(words[p[k], SMALL:], words[q[k], SMALL:], threshold, measure)
                 if k.any():
                     ab = np.unique(np.stack([ent[p[k]], ent[q[k]]], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
@@ -296,7 +317,7 @@ def _candidates(heads: DataFrame, threshold: float) -> DataFrame:
     some, total = heads.filter(F.pmod(F.xxhash64("ent", F.lit(7)), F.lit(HOT_SAMPLE)) == 0), heads.count() * RING
     found = []
     for go in range(SLICES):
-        rows = _spread_hot(_boxes(heads, go), _boxes(some, go), total).select("ent", "pair", "own", "key", "sketch")
+        rows = _spread_hot(_boxes(heads, go, measure), _boxes(some, go, measure), total).select("ent", "pair", "own", "key", "sketch")
         rows = rows.repartition("key", "pair").sortWithinPartitions("key", "pair", "own")
         found.append(cut(rows.mapInArrow(run, "a bigint, b bigint").distinct()))
     return reduce(DataFrame.unionByName, found).distinct()
@@ -342,8 +363,8 @@ def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, words:
     return rows.groupBy("ent").agg(F.max("z").alias("z"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: bytes) -> DataFrame:
-    """Pairs whose shingle sets overlap enough, with the share of the smaller one."""
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: bytes, measure: str) -> DataFrame:
+    """Pairs whose shingle sets overlap enough, with the common share of the measure's whole."""
     a = pairs.join(texts.select(F.col("ent").alias("a"), F.col("z").alias("za")), "a")
     ab = a.join(texts.select(F.col("ent").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
 
@@ -363,27 +384,28 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, words: bytes
                 new = {e: z for e, z in zip(x + y, zx + zy) if e not in known}
                 known.update(zip(new, shingle_sets([unpack(z).decode("utf-8", "surrogatepass") for z in new.values()])))
                 for p, q in zip(x, y):
-                    n, least = common(known[p], known[q]), min(len(known[p]), len(known[q]))
-                    if n >= threshold * least:
-                        out.append((p, q, n / least))
+                    n, sizes = common(known[p], known[q]), (len(known[p]), len(known[q]))
+                    whole = sum(sizes) - n if measure == "union" else min(sizes)
+                    if n >= threshold * whole:
+                        out.append((p, q, n / whole))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["a", "b", "share"])
 
     return ab.mapInArrow(run, "a bigint, b bigint, share double")
 
 
-def linked_entities(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+def linked_entities(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7, measure: str = "smaller") -> tuple[DataFrame, DataFrame]:
     """(members (id, ent), links (a, b, share) between entities): the classes of equal texts and the pairs between them."""
     known = _profiles(df, id_col, text_col)
     # an entity goes by the least id of its records
     heads = cut(known.groupBy("ent").agg(F.min("id").alias("head"), F.max("profile").alias("profile"), F.count_distinct("id").alias("copies")))
     rings = heads.select(F.col("head").alias("ent"), "profile")
-    pairs = cut(_candidates(rings, threshold))
+    pairs = cut(_candidates(rings, threshold, measure))
     wanted = cut(pairs.select(F.col("a").alias("ent")).union(pairs.select("b")).distinct())
     words = _dictionary(df, id_col, text_col)
     texts = cut(_texts(df, id_col, text_col, wanted, words))
     goes = max(1, -(-pairs.count() // (PAIRS * max(1, heads.count()))))
     of = lambda go: pairs.filter(F.pmod(F.xxhash64("b", F.lit(3)), F.lit(goes)) == go)
-    links = reduce(DataFrame.unionByName, [cut(_verified(of(go), texts, threshold, words)) for go in range(goes)])
+    links = reduce(DataFrame.unionByName, [cut(_verified(of(go), texts, threshold, words, measure)) for go in range(goes)])
     several = heads.filter("copies > 1").select("ent", "head")
     copies = _entities(df, id_col, text_col).join(maybe_broadcast(cut(several), 64), "ent").select("id", F.col("head").alias("ent")).distinct()
     alone = heads.filter("copies = 1").select(F.col("head").alias("id"), F.col("head").alias("ent"))
@@ -401,9 +423,9 @@ def _entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint"), text_col).mapInArrow(run, "id bigint, ent bigint")
 
 
-def near_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7, measure: str = "smaller") -> DataFrame:
     """(record_id_a, record_id_b), a < b: all pairs of near duplicates, copies included."""
-    members, links = linked_entities(df, id_col, text_col, threshold)
+    members, links = linked_entities(df, id_col, text_col, threshold, measure)
     links = links.select("a", "b")
     # records of one entity: only entities with several records are brought back, and only they meet themselves
     c = cut(members.filter("id <> ent").select("id", "ent"))
@@ -416,10 +438,10 @@ def near_pairs(df: DataFrame, id_col: str = "record_id", text_col: str = "text",
     return both.select(F.least("ia", "ib").alias("record_id_a"), F.greatest("ia", "ib").alias("record_id_b")).filter("record_id_a < record_id_b")
 
 
-def near_classes(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+def near_classes(df: DataFrame, id_col: str = "record_id", text_col: str = "text", threshold: float = 0.7, measure: str = "smaller") -> DataFrame:
     """(record_id, class_id, copies, links): each record with the least id of its connected class, how many records share
     its text, and how many different texts it is linked to; records without any link or copy are left out."""
-    members, links = linked_entities(df, id_col, text_col, threshold)
+    members, links = linked_entities(df, id_col, text_col, threshold, measure)
     links = links.select("a", "b")
     head = cut(members.groupBy("ent").agg(F.min("id").alias("head"), F.count("*").alias("copies")))
     heads = head.select("ent", "head")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import gbt, leakage, lookalike, main_content, mojibake, near_dup, packing, personal, scan_repair, sentences, site_lines
+from corpusloom.llm import gbt, leakage, lookalike, main_content, mojibake, near_dup, packing, personal, queries, scan_repair, sentences, site_lines
 from corpusloom.llm.arrays import PIECE, gram_hashes, reduced, window_min
 
 SCHEMA = "record_id bigint, text string, source_url string, source string, k1 string, site string"
@@ -267,6 +267,27 @@ def test_size_changes_no_pair(table):
     assert len(few) >= 300 and {(a, b) for a, b in many if b < 30} == few
 
 
+def test_p6_found_asks_for_the_union(spark, tmp_path):
+    """Sequences in both against those in at least one of the two: a text within a longer one is no case by itself."""
+    r = random.Random(5)
+    rows = []
+    for k in range(40):
+        t = list(prose(9, k)[:300])
+        rows += [(100 * k, "".join(t)), (100 * k + 1, "".join(t[:150])), (100 * k + 2, "".join(t[:225]))]
+        for n in range(1, 12):
+            for j in r.sample(range(len(t)), n):
+                t[j] = chr(0x5000 + r.randrange(4000))
+            rows.append((100 * k + 10 + n, "".join(t)))
+    spark.createDataFrame(rows, "record_id bigint, text string").write.parquet(f"{tmp_path}/pretrain.parquet")
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in rows}
+    truth = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    got = sorted(map(tuple, queries.p6_found(spark, str(tmp_path)).collect()))
+    assert len(got) == len(set(got)) and set(got) <= truth and len(got) >= 0.99 * len(truth)
+    assert (0, 1) not in got  # half of a text, wholly within it
+    classes = {x.record_id: x.class_id for x in queries.p6_classes(spark, str(tmp_path)).collect()}
+    assert set(classes) == {i for p in got for i in p} and all(classes[a] == classes[b] for a, b in got)
+
+
 def test_pigeonring():
     full, few = np.tile(np.uint64(2**64 - 1), (1, 8)), np.tile(np.uint64(0xFFFF), (1, 8))
     assert near_dup.likely(full, full, 0.7)[0] and near_dup.likely(few, few & ~np.uint64(0x1F), 0.7)[0]
