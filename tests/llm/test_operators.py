@@ -4,6 +4,7 @@ import os
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,6 +158,20 @@ def test_confusions(table):
     assert scan_repair.confusions(clean.limit(0), clean.limit(0)) == {}
 
 
+def test_surroundings_are_counted(table):
+    """Counts of every sign in its surroundings, however the hashes are sorted before they are added up."""
+    texts = [prose(3, k % 20) for k in range(60)]
+    level = lambda t: "    " + re.sub(r"\d", "0", t) + "    "
+    want = sorted(Counter((x[k - 2 : k] + x[k + 1 : k + 3], x[k]) for x in map(level, texts) for k in range(4, len(x) - 4)).values())
+    rows = scan_repair._surroundings(table(list(enumerate(texts))).select("text"), lambda t: t).filter("mid >= 0").collect()
+    assert sorted(r.n for r in rows) == want
+    key = np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64)[np.arange(20_000) % 500]
+    order = scan_repair._order(key)
+    assert sorted(order.tolist()) == list(range(len(key))) and np.count_nonzero(np.diff(key[order])) == 499
+    near = np.array([5, 6, 5, 6, 5], np.uint64)  # alike but for the last bits: every place still comes once
+    assert sorted(scan_repair._order(near).tolist()) == [0, 1, 2, 3, 4] and len(scan_repair._order(key[:0])) == 0
+
+
 def test_repair():
     m = scan_repair.Model(scan_repair.Editor({}), sentences.Model(), {"approved"})
     text = "The board has appr-\noved the plan of the\n— 4 —\nharbour today."
